@@ -140,6 +140,14 @@ def scale(encoded: DataFrame, spec: FeatureSpec, keep: list[str] | None = None)
     return encoded.select(*[F.col(k) for k in keep], *scale_columns(spec))
 
 
+def feature_array(eng: DataFrame, spec: FeatureSpec) -> Column:
+    """C2 + C4 as one array<double> column (raw columns stay untouched)."""
+    if not spec.is_fitted:
+        raise ValueError("FeatureSpec has no scaler statistics; call fit_scaler first")
+    return F.array(*[(c.cast("double") - F.lit(m)) / F.lit(s)
+                     for c, m, s in zip(onehot_columns(eng, spec), spec.means, spec.stds)])
+
+
 def prepare_inference(df: DataFrame, spec: FeatureSpec, keep: list[str] | None = None) -> DataFrame:
     """Features (F4) -> aligned one-hot (C2) -> scaled (C4), in one projection."""
     from ..functions.features import engineer_features

@@ -1,3 +1,160 @@
-"""Queries without a SQL oracle (models, oversampling, attribution, streams)."""
+"""Queries without a SQL oracle: models, oversampling, attribution, streams,
+snapshot.  The driver checks these by rows only; ``tests/`` holds their
+property tests (class balance, additivity, stream == batch).
 
-EXTRA_QUERIES: dict = {}
+Model fitting is the expensive part, so one trained pipeline per
+(session, data folder) is reused by the queries that need it.  Boosting
+rounds and forest size are reduced here (``QUERY_*``); library defaults are
+the reference's full settings.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import ID_COL, TARGET_COL
+from ..functions.features import engineer_features
+from ..operators import checks, encode, explain, metrics, models, sampling
+from ..session import ensure_checkpoint_dir, read_table
+from ..sources import sinks
+from ..sources.applications import load_applications
+from ..streaming import score_stream
+from . import scoring, training
+
+QUERY_GBT_ROUNDS = 12
+QUERY_FOREST_TREES = 24
+QUERY_LOGISTIC_ITER = 100
+BOOSTED_NAME = "Boosted Trees"
+
+_TRAINED: dict = {}
+
+
+def trained(spark: SparkSession, sf_dir: str) -> training.TrainedModel:
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train_pipeline(load_applications(spark, sf_dir), max_iter=QUERY_GBT_ROUNDS)
+    return _TRAINED[key]
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def q_train_gbt(spark, sf_dir):
+    tm = trained(spark, sf_dir)
+    return tm.test_scored.select(ID_COL, TARGET_COL, "model_probability",
+                                 metrics.classify(F.col("model_probability"), tm.threshold).alias("prediction"))
+
+
+def q_smote_oversample(spark, sf_dir):
+    return trained(spark, sf_dir).balanced.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _comparison_inputs(spark, sf_dir):
+    data = training.prepare_training(load_applications(spark, sf_dir))
+    sample = sampling.stratified_sample(data.train)
+    return data, sample
+
+
+def q_train_logistic(spark, sf_dir):
+    data, sample = _comparison_inputs(spark, sf_dir)
+    lr = models.train_logistic(sample, data.spec.names, max_iter=QUERY_LOGISTIC_ITER)
+    return models.score_probability(lr, data.test.select(ID_COL, TARGET_COL, "x"), x_col="x").drop("x")
+
+
+def q_train_forest(spark, sf_dir):
+    data, sample = _comparison_inputs(spark, sf_dir)
+    rf = models.train_forest(sample, data.spec.names, num_trees=QUERY_FOREST_TREES)
+    return models.score_probability(rf, data.test.select(ID_COL, TARGET_COL, "x"), x_col="x").drop("x")
+
+
+def boosted_row(tm: training.TrainedModel) -> DataFrame:
+    return models.model_metrics_row(tm.test_scored, BOOSTED_NAME, tm.threshold, models.BOOSTED_NOTE)
+
+
+def q_model_comparison(spark, sf_dir):
+    tm = trained(spark, sf_dir)
+    data, sample = _comparison_inputs(spark, sf_dir)
+    return models.model_comparison(sample, data.test, data.spec.names, boosted_row(tm),
+                                   forest_trees=QUERY_FOREST_TREES, logistic_iter=QUERY_LOGISTIC_ITER)
+
+
+def _errors_attributed(spark, sf_dir):
+    tm = trained(spark, sf_dir)
+    err = training.error_frame(tm)
+    return tm, training.attribution(spark, tm, err)
+
+
+def q_contribution_summary(spark, sf_dir):
+    tm, att = _errors_attributed(spark, sf_dir)
+    fp_fn = att.filter(F.col("ErrorType").isin("False_Positive", "False_Negative"))
+    return explain.contribution_summary(fp_fn, tm.spec.names, "ErrorType")
+
+
+def q_top_risk_signals(spark, sf_dir):
+    tm, att = _errors_attributed(spark, sf_dir)
+    top = explain.top_risk_signals(att, tm.spec.names, [ID_COL, "ErrorType", "model_probability"])
+    return top.select(ID_COL, "ErrorType", "model_probability",
+                      F.concat_ws(",", F.transform("top_signals", lambda s: s["feature"])).alias("top_features"))
+
+
+def q_score_with_model(spark, sf_dir):
+    """D4 with the trained model in the loop: C5 -> M4 -> D2 -> M5 for every valid application."""
+    tm = trained(spark, sf_dir)
+    apps = load_applications(spark, sf_dir).drop("model_probability")
+    eng = engineer_features(apps)
+    prepared = eng.withColumn("x", encode.feature_array(eng, tm.spec))
+    with_p = models.score_probability(tm.model, prepared, x_col="x").drop("x")
+    return scoring.score_applications(with_p, tm.threshold).drop("rule_audit")
+
+
+def q_stream_score(spark, sf_dir):
+    """The decision job as a stream over the orders files, read back from its sink."""
+    threshold = metrics.pick_threshold(load_applications(spark, sf_dir))
+    apps = score_stream.application_stream(spark, sf_dir, read_table(spark, sf_dir, "customer"))
+    out, ckpt = _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt")
+    q = score_stream.start_score_stream(apps, threshold, out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(out, "scored")).drop("rule_audit", "epoch")
+
+
+def q_periodic_metrics_stream(spark, sf_dir):
+    threshold = metrics.pick_threshold(load_applications(spark, sf_dir))
+    apps = score_stream.application_stream(spark, sf_dir, read_table(spark, sf_dir, "customer"))
+    out, ckpt = _scratch(spark, "periodic-out"), _scratch(spark, "periodic-ckpt")
+    q = score_stream.start_periodic_stream(apps, threshold, out, ckpt)
+    q.awaitTermination()
+    return score_stream.read_periodic(spark, out)
+
+
+def q_validation_snapshot(spark, sf_dir):
+    tm = trained(spark, sf_dir)
+    err = training.error_frame(tm)
+    m = metrics.binary_metrics(err, TARGET_COL, "PredictedLabel", "model_probability")
+    data, sample = _comparison_inputs(spark, sf_dir)
+    comp = models.model_comparison(sample, data.test, data.spec.names, boosted_row(tm),
+                                   forest_trees=QUERY_FOREST_TREES, logistic_iter=QUERY_LOGISTIC_ITER)
+    scen = checks.scenario_check(spark)
+    snap = sinks.validation_snapshot(m, tm.threshold, comp, m, scen)
+    path = _scratch(spark, "snapshot")
+    sinks.write_snapshot(snap, path)
+    return sinks.read_snapshot(spark, path)
+
+
+EXTRA_QUERIES = {
+    "train_gbt": q_train_gbt,
+    "smote_oversample": q_smote_oversample,
+    "train_logistic": q_train_logistic,
+    "train_forest": q_train_forest,
+    "model_comparison": q_model_comparison,
+    "contribution_summary": q_contribution_summary,
+    "top_risk_signals": q_top_risk_signals,
+    "score_with_model": q_score_with_model,
+    "stream_score": q_stream_score,
+    "periodic_metrics_stream": q_periodic_metrics_stream,
+    "validation_snapshot": q_validation_snapshot,
+}
