@@ -108,24 +108,31 @@ def classify(prob: Column, threshold: float) -> Column:
     return F.when(prob >= F.lit(float(threshold)), 1).otherwise(0)
 
 
-def confusion_counts(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
-    """One-row conditional-sum aggregate: tp, fp, tn, fn, n."""
-    y, p = F.col(label_col), F.col(pred_col)
+def _counter(weight_col: str | None):
+    """Conditional count; with ``weight_col`` each row counts as its weight
+    (a pre-aggregated (actual, predicted, n) table)."""
+    w = F.col(weight_col).cast("long") if weight_col else F.lit(1)
 
     def cnt(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+        return F.coalesce(F.sum(F.when(cond, w).otherwise(0)), F.lit(0)).cast("long")
+
+    return cnt
+
+
+def confusion_counts(df: DataFrame, label_col: str, pred_col: str, weight_col: str | None = None) -> DataFrame:
+    """One-row conditional-sum aggregate: tp, fp, tn, fn."""
+    y, p = F.col(label_col), F.col(pred_col)
+    cnt = _counter(weight_col)
 
     return df.agg(cnt((y == 1) & (p == 1)).alias("tp"), cnt((y == 0) & (p == 1)).alias("fp"),
                   cnt((y == 0) & (p == 0)).alias("tn"), cnt((y == 1) & (p == 0)).alias("fn"))
 
 
 def binary_metrics(df: DataFrame, label_col: str = "Default", pred_col: str = "prediction",
-                   prob_col: str | None = "model_probability") -> DataFrame:
+                   prob_col: str | None = "model_probability", weight_col: str | None = None) -> DataFrame:
     """Accuracy, precision, recall, F1 (zero division -> 0), mean probability."""
     y, p = F.col(label_col), F.col(pred_col)
-
-    def cnt(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    cnt = _counter(weight_col)
 
     aggs = [cnt((y == 1) & (p == 1)).alias("tp"), cnt((y == 0) & (p == 1)).alias("fp"),
             cnt((y == 0) & (p == 0)).alias("tn"), cnt((y == 1) & (p == 0)).alias("fn")]
@@ -143,16 +150,18 @@ def binary_metrics(df: DataFrame, label_col: str = "Default", pred_col: str = "p
     return out
 
 
-def confusion_matrix(df: DataFrame, label_col: str = "Default", pred_col: str = "prediction") -> DataFrame:
+def confusion_matrix(df: DataFrame, label_col: str = "Default", pred_col: str = "prediction",
+                     weight_col: str | None = None) -> DataFrame:
     """Dense 2x2 (rows actual 0/1, columns predicted_0/predicted_1), zero cells kept."""
-    c = confusion_counts(df, label_col, pred_col)
+    c = confusion_counts(df, label_col, pred_col, weight_col)
     return c.selectExpr("stack(2, 0, tn, fp, 1, fn, tp) AS (actual, predicted_0, predicted_1)") \
         .select(F.col("actual").cast("int"), "predicted_0", "predicted_1")
 
 
-def classification_report(df: DataFrame, label_col: str = "Default", pred_col: str = "prediction") -> DataFrame:
+def classification_report(df: DataFrame, label_col: str = "Default", pred_col: str = "prediction",
+                          weight_col: str | None = None) -> DataFrame:
     """Per-class precision/recall/f1/support, accuracy, macro and weighted averages."""
-    c = confusion_counts(df, label_col, pred_col)
+    c = confusion_counts(df, label_col, pred_col, weight_col)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
     p1, r1 = _zero_div(tp, tp + fp), _zero_div(tp, tp + fn)
