@@ -54,35 +54,30 @@ def _clamp01(x: Column) -> Column:
 def rule_effect(ruled: DataFrame, threshold: float, label_col: str = "Default") -> DataFrame:
     """Leave-one-rule-out effect on FP and recall, all in one pass.
 
-    For every rule the chain is re-folded without it (7 extra columns per
-    variant); one aggregate counts tp/fp/fn/tn for the full chain and every
-    variant.
+    Every row is expanded into 8 variants (a fixed-size explode: variant 0
+    keeps all rules, variant i leaves rule i out); one stepwise chain per
+    variant row, then a group-by on the variant whose partial aggregation
+    leaves 8 rows per task to shuffle.
     """
     t = F.lit(float(threshold))
     y = F.col(label_col)
-    variants = {"all_rules": None, **{f"without_{r.id}": r.id for r in RULES}}
-    df = ruled
-    finals = {}
-    for vi, (name, skip) in enumerate(variants.items()):
-        prev = F.col("model_probability").cast("double")
-        for r in RULES:
-            col = f"_v{vi}_{r.position}"
-            if r.id == skip:
-                df = df.withColumn(col, prev)
-            else:
-                df = df.withColumn(col, F.when(F.col(f"_f{r.position}"), _clamp01(prev * F.lit(float(r.multiplier))))
-                                   .otherwise(prev))
-            prev = F.col(col)
-        finals[name] = prev
-    aggs = []
-    for vi, (name, p) in enumerate(finals.items()):
-        pred = p >= t
-        aggs += [_cnt((y == 1) & pred).alias(f"tp{vi}"), _cnt((y == 0) & pred).alias(f"fp{vi}"),
-                 _cnt((y == 1) & ~pred).alias(f"fn{vi}"), _cnt((y == 0) & ~pred).alias(f"tn{vi}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{name}', {vi}, tp{vi}, fp{vi}, fn{vi}, tn{vi}" for vi, name in enumerate(finals))
-    long = wide.selectExpr(f"stack({len(finals)}, {stack}) AS (variant, variant_order, tp, fp, fn, tn)")
-    long = with_rates(long)
+    names = ["all_rules"] + [f"without_{r.id}" for r in RULES]
+    flags = [f"_f{r.position}" for r in RULES]
+    df = ruled.select(y.alias("_y"), F.col("model_probability").cast("double").alias("_q0"), *flags,
+                      F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("variant_order"))
+    prev = "_q0"
+    for r in RULES:
+        fired = F.col(f"_f{r.position}") & (F.col("variant_order") != r.position)
+        df = df.withColumn(f"_q{r.position}", F.when(fired, _clamp01(F.col(prev) * F.lit(float(r.multiplier))))
+                           .otherwise(F.col(prev)))
+        prev = f"_q{r.position}"
+    pred = F.col(prev) >= t
+    yy = F.col("_y")
+    counts = df.groupBy("variant_order").agg(
+        _cnt((yy == 1) & pred).alias("tp"), _cnt((yy == 0) & pred).alias("fp"),
+        _cnt((yy == 1) & ~pred).alias("fn"), _cnt((yy == 0) & ~pred).alias("tn"))
+    variant = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("variant_order") + 1)
+    long = with_rates(counts.withColumn("variant", variant))
     base = long.filter(F.col("variant_order") == 0).select(F.col("fp").alias("base_fp"),
                                                            F.col("recall").alias("base_recall"))
     # one-row baseline joined on a constant key (no cross join)
@@ -138,9 +133,10 @@ def feature_drift(df: DataFrame, features: list[str], is_current: Column, n_bins
     edges = kth_smallest(base, ["feature"], "x", ranks)
     # edges: (features x (n_bins-1)) rows -- bounded by the feature list, so broadcast
     edge_arr = edges.groupBy("feature").agg(F.collect_list("value").alias("edges"))
-    binned = long.join(F.broadcast(edge_arr), "feature").select(
-        "feature", "is_current",
-        F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bin"))
+    n_edges = n_bins - 1
+    bin_ = sum((F.coalesce((F.col("edges")[i] < F.col("x")).cast("int"), F.lit(0)) for i in range(n_edges)),
+               F.lit(0))
+    binned = long.join(F.broadcast(edge_arr), "feature").select("feature", "is_current", bin_.alias("bin"))
     counts = binned.groupBy("feature", "bin").agg(_cnt(~F.col("is_current")).alias("nb"),
                                                   _cnt(F.col("is_current")).alias("nc"))
     tot = counts.groupBy("feature").agg(F.sum("nb").alias("total_b"), F.sum("nc").alias("total_c"))

@@ -101,7 +101,8 @@ def q_score_applications(spark, sf_dir):
 
 
 def q_rule_audit(spark, sf_dir):
-    return rules.explode_audit(scored_table(spark, sf_dir))
+    ruled, _ = valid_ruled(spark, sf_dir)
+    return rules.explode_audit(ruled)
 
 
 def q_rule_usage(spark, sf_dir):

@@ -31,6 +31,9 @@ def build_session(master: str | None = None, app_name: str = "lendspark",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Fall back to split per-operator code rather than emit a whole-stage
+        # method the JIT refuses to compile (> 8000 bytes runs interpreted).
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -43,6 +46,17 @@ def build_session(master: str | None = None, app_name: str = "lendspark",
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Session settings the library relies on, applied only where still at Spark's default.
+
+    Wide rule/validation projections can generate whole-stage methods above
+    the JIT's 8000-byte limit; capping ``hugeMethodLimit`` makes Spark split
+    them instead of running them interpreted.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; invent one only if unset.
 

@@ -2,9 +2,12 @@
 of applications from the driver's ``orders`` and ``customer`` tables.
 
 The derivation is pure integer arithmetic on the two keys, so every engine
-computes identical values.  Products are reduced modulo the divisor first
-(``(k*a) % m == ((k % m) * (a % m)) % m`` for non-negative keys), which keeps
-every intermediate far below the 64-bit limit at any scale factor.
+computes identical values.  The one product that could leave 64 bits for
+large keys (``k * 2654435761``) is reduced modulo the divisor first
+(``(k*a) % m == ((k % m) * (a % m)) % m`` for non-negative keys); the other
+factors are below 2^16, safe for keys up to about 2e14.  Keeping the
+expressions short matters: they are inlined wherever validation and rules
+read a column, and the generated code must stay small enough to be compiled.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
-from ..session import read_table
+from ..session import read_table, tune_session
 
 APPLICATION_SCHEMA = T.StructType([
     T.StructField("LoanID", T.LongType()),
@@ -41,7 +44,9 @@ PURPOSE_OTHER = "Other"
 
 
 def _mulmod(x: Column, factor: int, mod: int) -> Column:
-    """(x * factor) % mod without overflow for non-negative x."""
+    """(x * factor) % mod; pre-reduced only when the factor is large enough to overflow."""
+    if factor < (1 << 16):
+        return (x * F.lit(factor)) % F.lit(mod)
     return ((x % F.lit(mod)) * F.lit(factor % mod)) % F.lit(mod)
 
 
@@ -78,18 +83,17 @@ def applications_from_orders(orders: DataFrame, customer: DataFrame) -> DataFram
     purpose = F.lit(PURPOSE_OTHER)
     for prio, word in reversed(PURPOSE_BY_PRIORITY):
         purpose = F.when(F.col("o_orderpriority") == prio, F.lit(word)).otherwise(purpose)
-    income = F.when(k % 97 == 0, F.lit(0)).otherwise(
-        F.lit(15000) + (_mulmod(c, 7919, 135000) + _mulmod(k, 13, 135000)) % 135000)
-    default = F.when((_mulmod(k, 40503, 40009) + _mulmod(c, 7001, 40009)) % 40009 < h, 1).otherwise(0)
+    income = F.when(k % 97 == 0, F.lit(0)).otherwise(F.lit(15000) + (c * 7919 + k * 13) % 135000)
+    default = F.when((k * 40503 + c * 7001) % 40009 < h, 1).otherwise(0)
     return o.select(
         k.alias("LoanID"),
-        (F.lit(18) + (_mulmod(c, 7, 52) + k % 52) % 52).cast("int").alias("Age"),
+        (F.lit(18) + (c * 7 + k) % 52).cast("int").alias("Age"),
         income.cast("double").alias("Income"),
-        (F.lit(5000) + _mulmod(k, 6151, 245000)).cast("double").alias("LoanAmount"),
-        (F.lit(300) + (_mulmod(k, 131, 550) + _mulmod(c, 17, 550)) % 550).cast("int").alias("CreditScore"),
-        _mulmod(k, 37, 120).cast("int").alias("MonthsEmployed"),
+        (F.lit(5000) + (k * 6151) % 245000).cast("double").alias("LoanAmount"),
+        (F.lit(300) + (k * 131 + c * 17) % 550).cast("int").alias("CreditScore"),
+        ((k * 37) % 120).cast("int").alias("MonthsEmployed"),
         (F.lit(1) + c % 4).cast("int").alias("NumCreditLines"),
-        ((F.lit(200) + _mulmod(k, 53, 2300)).cast("double") / F.lit(100).cast("double")).alias("InterestRate"),
+        ((F.lit(200) + (k * 53) % 2300).cast("double") / F.lit(100).cast("double")).alias("InterestRate"),
         (F.lit(12) * (F.lit(1) + k % 5)).cast("int").alias("LoanTerm"),
         _pick(c % 4, EDUCATION_BY_CUST).alias("Education"),
         _pick(k % 4, EMPLOYMENT_BY_ORDER).alias("EmploymentType"),
@@ -105,6 +109,7 @@ def applications_from_orders(orders: DataFrame, customer: DataFrame) -> DataFram
 
 
 def load_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune_session(spark)
     return applications_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
 
 
