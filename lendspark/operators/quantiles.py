@@ -11,6 +11,7 @@ group and rank) is checkpointed between passes to keep the lineage short.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +36,9 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
         g = ["_g"]
     v = (vals.select(*g, F.col(value_col).cast("double").alias("v"))
          .filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    # every pass re-reads the values: keep them (memory, spilling to disk) for the
+    # duration; a lost block is recomputed from the short lineage
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)
     bounds = v.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     state = (ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"))
              .join(bounds, g)
@@ -74,4 +78,6 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
         result = result.unionByName(rest)
     if group_cols == []:
         result = result.drop("_g")
+    result = cut_lineage(result)
+    v.unpersist()
     return result

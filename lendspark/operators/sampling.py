@@ -7,6 +7,8 @@ re-read of the data (which is what makes it safe under executor loss).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,55 @@ def stratified_split(df: DataFrame, key_col: str = ID_COL, test_size: float = TE
     return df.withColumn(out_col, split_bucket(F.col(key_col), seed) < cut)
 
 
+MAX_CLASSES = 1000
+
+
+def class_quotas(counts: dict, test_size: float) -> dict:
+    """Test rows per class: ``ceil(test_size * n)`` shared in proportion,
+    remainders to the largest fractional parts (ties by class order)."""
+    n = sum(counts.values())
+    n_test = math.ceil(test_size * n)
+    exact = {c: n_test * k / n for c, k in counts.items()}
+    quota = {c: int(math.floor(v)) for c, v in exact.items()}
+    left = n_test - sum(quota.values())
+    for c in sorted(counts, key=lambda c: (-(exact[c] - quota[c]), str(c)))[:left]:
+        quota[c] += 1
+    return quota
+
+
+def stratified_split_exact(df: DataFrame, key_col: str = ID_COL, label_col: str = TARGET_COL,
+                           test_size: float = TEST_SIZE, seed: int = RANDOM_STATE,
+                           out_col: str = "is_test") -> DataFrame:
+    """R1, exact mode: each class contributes exactly its quota of test rows.
+
+    The rows of a class with the smallest key hashes (ties by key) form its
+    test share.  The per-class cut is an exact order statistic found by
+    histogram refinement -- no sort, no window over a class.
+    """
+    from .quantiles import kth_smallest
+    spark = df.sparkSession
+    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label_col!r}")
+    quota = class_quotas({r[label_col]: int(r["n"]) for r in rows}, test_size)
+    keyed = df.select(F.col(label_col).alias("_c"), F.col(key_col).alias("_key"),
+                      key_hash32(F.col(key_col), f"#{seed}").alias("_h"))
+    # per-class tables have at most MAX_CLASSES rows: a proven broadcast bound
+    ranks = spark.createDataFrame([(c, 0, q) for c, q in quota.items() if q > 0],
+                                  f"_c {dict(df.dtypes)[label_col]}, rank_id int, k long")
+    cut_h = kth_smallest(keyed, ["_c"], "_h", ranks).select("_c", F.col("value").cast("long").alias("_cut_h"))
+    at_cut = keyed.join(F.broadcast(cut_h), "_c")
+    below = at_cut.groupBy("_c").agg(F.count_if(F.col("_h") < F.col("_cut_h")).alias("_below"))
+    tie_ranks = (ranks.join(below, "_c").select("_c", "rank_id", (F.col("k") - F.col("_below")).alias("k")))
+    ties = at_cut.filter(F.col("_h") == F.col("_cut_h")).select("_c", "_key")
+    cut_key = kth_smallest(ties, ["_c"], "_key", tie_ranks).select("_c", F.col("value").alias("_cut_key"))
+    cuts = cut_h.join(cut_key, "_c")
+    h = key_hash32(F.col(key_col), f"#{seed}")
+    flagged = df.join(F.broadcast(cuts.withColumnRenamed("_c", label_col)), label_col, "left")
+    test = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key_col).cast("double") <= F.col("_cut_key")))
+    return flagged.withColumn(out_col, F.coalesce(test, F.lit(False))).select(*df.columns, out_col)
+
+
 def train_test(df: DataFrame, key_col: str = ID_COL, test_size: float = TEST_SIZE,
                seed: int = RANDOM_STATE) -> tuple[DataFrame, DataFrame]:
     flagged = stratified_split(df, key_col, test_size, seed, "_is_test")

@@ -89,6 +89,27 @@ def q_application_display(spark, sf_dir):
     )
 
 
+def q_read_applications_csv(spark, sf_dir):
+    """S1 + S4: applications written as CSV to the shared scratch folder and
+    read back with the explicit application schema (nothing inferred)."""
+    from ..sources.applications import APPLICATION_SCHEMA, read_applications
+    from .training import scratch_path
+    apps = load_applications(spark, sf_dir)
+    cols = [F.col(f.name) if f.name in apps.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in APPLICATION_SCHEMA.fields]
+    path = scratch_path(spark, "applications-csv")
+    apps.select(*cols).write.mode("overwrite").option("header", "true").csv(path)
+    return read_applications(spark, path, "csv")
+
+
+def q_decision_memo(spark, sf_dir):
+    """the decision note of every scored application."""
+    from ..functions.text import decision_memo
+    s = scored_table(spark, sf_dir)
+    return s.select(ID_COL, decision_memo(F.col("final_class"), F.col("model_score_pct"),
+                                          F.col("adjusted_score_pct"), F.col("dti"), F.col("n_rules")).alias("memo"))
+
+
 def q_validate_applications(spark, sf_dir):
     v = validate_applications(load_applications(spark, sf_dir))
     return v.select(ID_COL, "is_valid", F.concat_ws(",", "violations").alias("violations"))
@@ -188,6 +209,11 @@ def q_stratified_split(spark, sf_dir):
     return sampling.stratified_split(load_applications(spark, sf_dir)).select(ID_COL, TARGET_COL, "is_test")
 
 
+def q_stratified_split_exact(spark, sf_dir):
+    apps = load_applications(spark, sf_dir)
+    return sampling.stratified_split_exact(apps, ID_COL, TARGET_COL).select(ID_COL, TARGET_COL, "is_test")
+
+
 def q_class_balance(spark, sf_dir):
     s = sampling.stratified_split(load_applications(spark, sf_dir))
     s = s.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train"))
@@ -273,6 +299,8 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "loan_profile": q_loan_profile,
     "application_display": q_application_display,
     "validate_applications": q_validate_applications,
+    "read_applications_csv": q_read_applications_csv,
+    "decision_memo": q_decision_memo,
     "score_applications": q_score_applications,
     "rule_audit": q_rule_audit,
     "rule_usage": q_rule_usage,
@@ -290,6 +318,7 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_feature_means": q_error_feature_means,
     "group_sample": q_group_sample,
     "stratified_split": q_stratified_split,
+    "stratified_split_exact": q_stratified_split_exact,
     "class_balance": q_class_balance,
     "stratified_sample": q_stratified_sample,
     "onehot_train": q_onehot_train,

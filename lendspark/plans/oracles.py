@@ -372,6 +372,32 @@ SELECT "LoanID", "ErrorType" FROM (
   SELECT "LoanID", "ErrorType", row_number() OVER (PARTITION BY "ErrorType" ORDER BY {gh}, "LoanID") AS rn
   FROM typed WHERE "ErrorType" IN ('False_Positive', 'False_Negative')) s WHERE rn <= 500"""
     q["stratified_split"] = f"WITH {APPS} SELECT \"LoanID\", \"Default\", {SPLIT_EXPR} AS is_test FROM apps"
+    hh = "('0x' || substr(md5(CAST(\"LoanID\" AS VARCHAR) || '#42'), 1, 8))::BIGINT"
+    q["stratified_split_exact"] = f"""WITH {APPS},
+c AS (SELECT "Default" AS c, COUNT(*) AS k FROM apps GROUP BY 1),
+t AS (SELECT SUM(k) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * CAST(SUM(k) AS DOUBLE)) AS BIGINT) AS nt FROM c),
+q0 AS (SELECT c.c, CAST(t.nt * c.k AS DOUBLE) / CAST(t.n AS DOUBLE) AS ex,
+              floor(CAST(t.nt * c.k AS DOUBLE) / CAST(t.n AS DOUBLE)) AS fl, t.nt FROM c JOIN t ON TRUE),
+q AS (SELECT c, fl + CASE WHEN row_number() OVER (ORDER BY ex - fl DESC, CAST(c AS VARCHAR))
+                             <= nt - SUM(fl) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+r AS (SELECT "LoanID", "Default",
+        row_number() OVER (PARTITION BY "Default" ORDER BY {hh}, "LoanID") AS rn FROM apps)
+SELECT r."LoanID", r."Default", r.rn <= q.quota AS is_test FROM r JOIN q ON r."Default" = q.c"""
+    q["read_applications_csv"] = f"""WITH {APPS}
+SELECT "LoanID", "Age", "Income", "LoanAmount", "CreditScore", "MonthsEmployed", "NumCreditLines", "InterestRate",
+  "LoanTerm", CAST(NULL AS DOUBLE) AS "DTIRatio", "Education", "EmploymentType", "MaritalStatus", "HasMortgage",
+  "HasDependents", "LoanPurpose", "HasCoSigner", "Default" FROM apps"""
+    def pct(x: str) -> str:
+        return "'%' || format('{:.2f}', round(" + x + " * CAST(100 AS DOUBLE), 2))"
+    q["decision_memo"] = f"""{BASE_SCORED}
+SELECT "LoanID", CASE WHEN final_class = 0 THEN printf(
+  'Başvuru onaylanabilir bölgede. Model skoru %s, iş kuralları sonrası skor %s. DTI %s ve %s kural etkisiyle profil düşük risk bandında kaldı.',
+  {pct('model_probability')}, {pct('p7')}, format('{{:.4f}}', round(round("DTIRatio", 4), 4)),
+  CAST({n_rules} AS VARCHAR))
+ELSE printf(
+  'Başvuru manuel inceleme bandında. Model skoru %s, iş kuralları sonrası skor %s. DTI %s; gelir yükü, kredi notu ve istihdam sinyalleri kredi uzmanı tarafından gözden geçirilmeli.',
+  {pct('model_probability')}, {pct('p7')}, format('{{:.4f}}', round(round("DTIRatio", 4), 4)))
+END AS memo FROM scored"""
     q["class_balance"] = f"""WITH {APPS}
 SELECT CASE WHEN {SPLIT_EXPR} THEN 'test' ELSE 'train' END AS split, "Default", CAST(COUNT(*) AS BIGINT) AS n
 FROM apps GROUP BY ALL"""

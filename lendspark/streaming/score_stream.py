@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,11 @@ def start_score_stream(apps: DataFrame, threshold: float, out_dir: str, checkpoi
     scored_dir, quarantine_dir = os.path.join(out_dir, "scored"), os.path.join(out_dir, "quarantine")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # two outputs, one read of the batch
         scored, rejected = score_batch(batch, threshold, keep)
         scored.write.mode("overwrite").parquet(os.path.join(scored_dir, f"epoch={epoch_id}"))
         rejected.write.mode("overwrite").parquet(os.path.join(quarantine_dir, f"epoch={epoch_id}"))
+        batch.unpersist()
 
     writer = apps.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

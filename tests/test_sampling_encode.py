@@ -53,3 +53,15 @@ def test_scaler_population_std_and_roundtrip(spark, tiny_apps):
     encode.save_spec(spark, fitted, path, None)
     loaded, t = encode.load_spec(spark, path)
     assert loaded == fitted and t == 0.5                   # missing threshold falls back to 0.50
+
+
+def test_exact_split_hits_class_quotas(tiny_apps):
+    from lendspark.operators.sampling import class_quotas, stratified_split_exact
+    counts = {r["Default"]: r["count"] for r in tiny_apps.groupBy("Default").count().collect()}
+    quota = class_quotas(counts, 0.2)
+    out = stratified_split_exact(tiny_apps, "LoanID", "Default")
+    got = {r["Default"]: r["n"] for r in out.filter("is_test").groupBy("Default").agg(F.count("*").alias("n")).collect()}
+    assert got == quota and sum(quota.values()) == -(-sum(counts.values()) * 2 // 10)
+    again = stratified_split_exact(tiny_apps, "LoanID", "Default").filter("is_test").select("LoanID")
+    assert sorted(r[0] for r in again.collect()) == sorted(r[0] for r in out.filter("is_test").select("LoanID").collect())
+    assert out.count() == tiny_apps.count()
