@@ -6,7 +6,7 @@ current interval (a partial, map-side combined aggregation, so a group
 holding a third of all rows costs no more than any other), picks the bucket
 that holds rank k, and narrows the interval to that bucket's [min, max].
 Two or three passes resolve typical data; the search state (one row per
-group and rank) is checkpointed between passes to keep the lineage short.
+group and rank) is materialised between passes to keep the lineage short.
 """
 
 from __future__ import annotations
@@ -20,15 +20,23 @@ from ..session import broadcast_if_small, cut_lineage
 
 BUCKETS = 65536
 MAX_PASSES = 10
+MAX_LOCAL_STATE = 100_000
 
 
 def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks: DataFrame,
-                 buckets: int = BUCKETS, max_passes: int = MAX_PASSES) -> DataFrame:
+                 buckets: int = BUCKETS, max_passes: int = MAX_PASSES,
+                 max_local_state: int = MAX_LOCAL_STATE) -> DataFrame:
     """k-th smallest non-null, non-NaN ``value_col`` per group and rank.
 
     ``ranks`` holds ``group_cols + [rank_id, k]`` with 1 <= k <= count.
     Returns ``group_cols + [rank_id, value]``.
+
+    The search state has one row per (group, rank).  When that is at most
+    ``max_local_state`` rows it is kept on the driver between passes (a
+    proven-small table, re-sent as a broadcast); otherwise it is
+    checkpointed to the shared checkpoint folder after every pass.
     """
+    spark = vals.sparkSession
     g = list(group_cols)
     if not g:
         vals = vals.withColumn("_g", F.lit(0))
@@ -43,20 +51,35 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
     state = (ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"))
              .join(bounds, g)
              .withColumn("below", F.lit(0).cast("long")))
-    state = cut_lineage(state)
+    n_state = ranks.count()
+    local = n_state <= max_local_state
+
+    def settle(df: DataFrame) -> tuple[DataFrame, int]:
+        """Materialise the state; returns it with its number of open rows."""
+        if local:
+            rows = df.collect()
+            out = spark.createDataFrame(rows, df.schema) if rows else df.limit(0)
+            return out, sum(1 for r in rows if r["lo"] < r["hi"])
+        out = cut_lineage(df)
+        return out, out.filter(F.col("lo") < F.col("hi")).count()
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if local else broadcast_if_small(df)
+
+    state, n_open = settle(state)
     for _ in range(max_passes):
-        open_ = state.filter(F.col("lo") < F.col("hi"))
-        if open_.isEmpty():
+        if n_open == 0:
             break
+        open_ = state.filter(F.col("lo") < F.col("hi"))
         done = state.filter(F.col("lo") >= F.col("hi"))
         intervals = open_.select(*g, "lo", "hi").distinct()
-        joined = v.join(broadcast_if_small(intervals), g).filter(
-            (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        joined = v.join(small(intervals), g).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         # halves keep hi - lo finite for extreme ranges
         frac = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         b = F.least(F.floor(frac * buckets), F.lit(buckets - 1)).cast("int")
         hist = (joined.withColumn("b", b).groupBy(*g, "lo", "hi", "b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
+        # at most `buckets` rows per interval: a bounded window
         w = Window.partitionBy(*g, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding,
                                                                          Window.currentRow)
         hist = hist.withColumn("cum", F.sum("n").over(w)).withColumn("cum_before", F.col("cum") - F.col("n"))
@@ -65,12 +88,12 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
                        & (F.col("k") <= F.col("below") + F.col("cum")))
                .select(*g, "rank_id", "k", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
                        (F.col("below") + F.col("cum_before")).alias("below")))
-        state = cut_lineage(done.unionByName(nxt))
-    open_ = state.filter(F.col("lo") < F.col("hi"))
+        state, n_open = settle(done.unionByName(nxt))
     result = state.filter(F.col("lo") >= F.col("hi")).select(*g, "rank_id", F.col("lo").alias("value"))
-    if not open_.isEmpty():
+    if n_open:
         # Pathological spreads only: rank the few values left inside each interval.
-        joined = v.join(broadcast_if_small(open_.select(*g, "rank_id", "k", "lo", "hi", "below")), g).filter(
+        open_ = state.filter(F.col("lo") < F.col("hi"))
+        joined = v.join(small(open_.select(*g, "rank_id", "k", "lo", "hi", "below")), g).filter(
             (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         w = Window.partitionBy(*g, "rank_id").orderBy("v")
         rest = (joined.withColumn("r", F.row_number().over(w) + F.col("below"))
@@ -78,6 +101,6 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
         result = result.unionByName(rest)
     if group_cols == []:
         result = result.drop("_g")
-    result = cut_lineage(result)
+    result, _ = settle(result.withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(0.0)))
     v.unpersist()
-    return result
+    return result.drop("lo", "hi")

@@ -58,7 +58,8 @@ def prepare_training(apps: DataFrame, seed: int = RANDOM_STATE) -> TrainingData:
 def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"], seed: int = RANDOM_STATE,
                    target_recall: float = TARGET_RECALL, oversample: bool = True) -> TrainedModel:
     data = prepare_training(apps, seed)
-    train = data.train.select(ID_COL, TARGET_COL, "x")
+    # SMOTE and the model read the scaled training set several times: materialise it once
+    train = cut_lineage(data.train.select(ID_COL, TARGET_COL, "x"))
     balanced = smote.smote_oversample(train, ID_COL, "x", TARGET_COL, seed=seed) if oversample else \
         train.select(F.col(ID_COL).alias("key"), "x", F.col(TARGET_COL).alias("label"))
     balanced = cut_lineage(balanced.select("key", "x", "label", *([c for c in ("is_synthetic",)
