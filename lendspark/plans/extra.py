@@ -34,7 +34,7 @@ _TRAINED: dict = {}
 
 
 def trained(spark: SparkSession, sf_dir: str) -> training.TrainedModel:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         _TRAINED[key] = training.train_pipeline(load_applications(spark, sf_dir), max_iter=QUERY_GBT_ROUNDS)
     return _TRAINED[key]
@@ -95,6 +95,20 @@ def q_contribution_summary(spark, sf_dir):
     return explain.contribution_summary(fp_fn, tm.spec.names, "ErrorType")
 
 
+def q_linear_contribution_summary(spark, sf_dir):
+    """X1 (a): contributions ``coef * (x - mean)`` of the class-balanced logistic
+    model, per error group of the boosted model's test predictions."""
+    tm = trained(spark, sf_dir)
+    data, sample = _comparison_inputs(spark, sf_dir)
+    lr = models.train_logistic(sample, data.spec.names, max_iter=QUERY_LOGISTIC_ITER)
+    coef = [float(c) for c in lr.coefficients]
+    err = training.error_frame(tm).filter(F.col("ErrorType").isin("False_Positive", "False_Negative"))
+    with_x = err.select("ErrorType", *[F.col("x")[i].alias(n) for i, n in enumerate(data.spec.names)])
+    # scaled features have mean 0 on the training split, so the baseline is 0
+    contrib = explain.linear_contributions(with_x, data.spec.names, coef)
+    return explain.contribution_summary(contrib, data.spec.names, "ErrorType")
+
+
 def q_top_risk_signals(spark, sf_dir):
     tm, att = _errors_attributed(spark, sf_dir)
     top = explain.top_risk_signals(att, tm.spec.names, [ID_COL, "ErrorType", "model_probability"])
@@ -152,6 +166,7 @@ EXTRA_QUERIES = {
     "train_forest": q_train_forest,
     "model_comparison": q_model_comparison,
     "contribution_summary": q_contribution_summary,
+    "linear_contribution_summary": q_linear_contribution_summary,
     "top_risk_signals": q_top_risk_signals,
     "score_with_model": q_score_with_model,
     "stream_score": q_stream_score,
