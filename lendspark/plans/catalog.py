@@ -63,7 +63,8 @@ def test_analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.F
 # --- sources, features, validation ---------------------------------------------------
 
 def q_applications(spark, sf_dir):
-    return load_applications(spark, sf_dir)
+    # dates/times leave as ISO text so both engines hand over the same value type
+    return load_applications(spark, sf_dir).withColumn("application_ts", F.col("application_ts").cast("string"))
 
 
 def q_engineer_features(spark, sf_dir):
@@ -266,7 +267,8 @@ def q_latency_summary(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     calls = ev.select(F.to_date("ts").alias("day"), F.col("value").alias("latency_ms"),
                       (F.col("event_type") == "error").alias("is_error"))
-    return checks.latency_summary(calls, "latency_ms", "is_error", ["day"])
+    out = checks.latency_summary(calls, "latency_ms", "is_error", ["day"])
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
 def q_check_rollup(spark, sf_dir):
@@ -281,7 +283,8 @@ def q_feature_drift(spark, sf_dir):
 
 
 def q_periodic_metrics(spark, sf_dir):
-    return monitor.periodic_metrics(scored_table(spark, sf_dir, keep=[TARGET_COL, "application_ts"]))
+    out = monitor.periodic_metrics(scored_table(spark, sf_dir, keep=[TARGET_COL, "application_ts"]))
+    return out.withColumn("period_start", F.col("period_start").cast("string"))
 
 
 def q_group_error_rates(spark, sf_dir):

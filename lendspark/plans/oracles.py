@@ -228,7 +228,8 @@ def _rates(extra: str = "") -> str:
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["applications"] = f"WITH {APPS} SELECT * FROM apps"
+    q["applications"] = (f"WITH {APPS} SELECT * REPLACE (CAST(application_ts AS VARCHAR) AS application_ts) "
+                         f"FROM apps")
     q["engineer_features"] = (f"WITH {APPS},{ENG} SELECT \"LoanID\", \"Age\", \"Income\", \"LoanAmount\", "
                               f"\"DTIRatio\", \"Age_Income_Interaction\" FROM eng")
     q["loan_profile"] = f"""WITH {APPS}
@@ -432,7 +433,7 @@ p AS (SELECT day, latency_ms AS p95 FROM ranked
       WHERE rn = greatest(1, CAST(floor(CAST(n AS DOUBLE) * CAST(0.95 AS DOUBLE)) AS BIGINT))),
 s AS (SELECT day, CAST(COUNT(*) AS BIGINT) AS n_calls, CAST(SUM(CASE WHEN is_error THEN 1 ELSE 0 END) AS BIGINT)
              AS n_errors, avg(latency_ms) AS a, min(latency_ms) AS mi, max(latency_ms) AS ma FROM calls GROUP BY day)
-SELECT s.day, n_calls, n_errors, round(a, 2) AS avg_ms, round(mi, 2) AS min_ms, round(ma, 2) AS max_ms,
+SELECT CAST(s.day AS VARCHAR) AS day, n_calls, n_errors, round(a, 2) AS avg_ms, round(mi, 2) AS min_ms, round(ma, 2) AS max_ms,
   round(p95, 2) AS p95_ms FROM s JOIN p ON s.day = p.day"""
     q["check_rollup"] = f"""WITH {APPS}, v AS (
   SELECT "LoanPurpose", ("Age" >= 18 AND "Income" > 0 AND "LoanAmount" >= 0 AND "MonthsEmployed" >= 0
@@ -465,7 +466,8 @@ SELECT feature, round(psi, 6) AS psi,
        ELSE 'significant' END AS level,
   CAST(nb AS BIGINT) AS n_baseline, CAST(nc AS BIGINT) AS n_current FROM res"""
     q["periodic_metrics"] = f"""{BASE_SCORED},
-agg AS ({_decision_metrics("CAST(date_trunc('quarter', application_ts) AS DATE) AS period_start", "scored")})
+agg AS ({_decision_metrics("CAST(CAST(date_trunc('quarter', application_ts) AS DATE) AS VARCHAR) AS period_start",
+                          "scored")})
 SELECT period_start, n, n_default, n_approvable, tp, fp, fn, tn, {_rates()[2:]} FROM agg"""
     attrs = ["Education", "EmploymentType", "MaritalStatus", "LoanPurpose"]
     long = " UNION ALL ".join(f"SELECT {_lit(a)} AS attribute, {_q(a)} AS value, \"Default\", final_class, p7 "
