@@ -9,8 +9,6 @@ repeat them.  Literals that meet doubles are cast to DOUBLE (DuckDB reads
 
 from __future__ import annotations
 
-D = "CAST({} AS DOUBLE)".format
-
 APPS = """
 apps AS (
   SELECT k AS "LoanID",

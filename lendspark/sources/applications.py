@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
+from ..constants import CATEGORICAL_COLUMNS, TARGET_COL
 from ..session import read_table, tune_session
 
 APPLICATION_SCHEMA = T.StructType([
@@ -132,7 +132,3 @@ def require_target(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
         raise ValueError(f"Target column '{target}' was not found")
     return df.withColumn(target, F.col(target).cast("int"))
 
-
-def feature_columns(df: DataFrame) -> list[str]:
-    """Columns that may become model features (never the key or the label)."""
-    return [c for c in df.columns if c not in (ID_COL, TARGET_COL)]

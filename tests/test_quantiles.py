@@ -35,3 +35,19 @@ def test_latency_summary_p95(spark):
     assert r["n_errors"] == 11 and r["n_calls"] == 101 and r["max_ms"] == round(max(lat), 2)
     one = latency_summary(spark.createDataFrame([(12.5, False)], "ms double, err boolean"), "ms", "err").first()
     assert one["p95_ms"] == 12.5
+
+
+def test_feature_drift_psi(spark):
+    import math
+    from pyspark.sql import functions as F
+    from lendspark.operators.monitor import feature_drift, psi_value
+    rows = [(float(i % 100), i >= 1000) for i in range(2000)]          # same distribution in both periods
+    rows += [(float(200 + i), True) for i in range(100)]               # 100 new, larger values
+    df = spark.createDataFrame(rows, "a double, cur boolean")
+    r = feature_drift(df, ["a"], F.col("cur")).first()
+    assert r["n_baseline"] == 1000 and r["n_current"] == 1100
+    # deciles of 0..99 (x10): each bin 10 %; current: 1000 spread alike + 100 in the top bin
+    base = [0.1] * 10
+    cur = [100 / 1100] * 9 + [200 / 1100]
+    exp = sum(psi_value(b, c) for b, c in zip(base, cur))
+    assert math.isclose(r["psi"], round(exp, 6), abs_tol=1e-6) and r["level"] == "stable"
