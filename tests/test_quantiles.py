@@ -51,3 +51,13 @@ def test_feature_drift_psi(spark):
     cur = [100 / 1100] * 9 + [200 / 1100]
     exp = sum(psi_value(b, c) for b, c in zip(base, cur))
     assert math.isclose(r["psi"], round(exp, 6), abs_tol=1e-6) and r["level"] == "stable"
+
+
+def test_kth_smallest_checkpointed_state(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(v)) for g in range(30) for v in rng.integers(0, 50, size=40)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ranks = spark.createDataFrame([(g, 0, 20) for g in range(30)], "g int, rank_id int, k long")
+    got = {r["g"]: r["value"] for r in kth_smallest(df, ["g"], "v", ranks, max_local_state=5).collect()}
+    for g in range(30):
+        assert got[g] == sorted(v for gg, v in rows if gg == g)[19]
