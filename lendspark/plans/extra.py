@@ -128,7 +128,8 @@ def q_score_with_model(spark, sf_dir):
 
 def q_stream_score(spark, sf_dir):
     """The decision job as a stream over the orders files, read back from its sink."""
-    threshold = metrics.pick_threshold(load_applications(spark, sf_dir))
+    from .catalog import calibrated_threshold
+    threshold = calibrated_threshold(spark, sf_dir)
     apps = score_stream.application_stream(spark, sf_dir, read_table(spark, sf_dir, "customer"))
     out, ckpt = _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt")
     q = score_stream.start_score_stream(apps, threshold, out, ckpt)
@@ -137,7 +138,8 @@ def q_stream_score(spark, sf_dir):
 
 
 def q_periodic_metrics_stream(spark, sf_dir):
-    threshold = metrics.pick_threshold(load_applications(spark, sf_dir))
+    from .catalog import calibrated_threshold
+    threshold = calibrated_threshold(spark, sf_dir)
     apps = score_stream.application_stream(spark, sf_dir, read_table(spark, sf_dir, "customer"))
     out, ckpt = _scratch(spark, "periodic-out"), _scratch(spark, "periodic-ckpt")
     q = score_stream.start_periodic_stream(apps, threshold, out, ckpt)
