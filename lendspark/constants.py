@@ -192,5 +192,5 @@ PUBLISHED_THRESHOLD = 0.231
 PUBLISHED_CONFUSION = {"tn": 30773, "fp": 14366, "tp": 4093, "fn": 1838}
 PUBLISHED_METRICS = {"accuracy": 0.6827, "precision": 0.2217, "recall": 0.6901, "f1": 0.3356}
 
-# Roll-up names used by the snapshot.
-SNAPSHOT_VERSION = "week13-final-validation-2026-04-20"
+# Version tag written into the validation snapshot.
+SNAPSHOT_VERSION = "lendspark-final-validation-1"
