@@ -35,10 +35,6 @@ CATEGORICAL_COLUMNS = [
 
 ENGINEERED_COLUMNS = ["DTIRatio", "Age_Income_Interaction"]
 
-# Column order of the raw application table (numeric block, then DTIRatio,
-# then the categorical block); one-hot features keep this order.
-RAW_FEATURE_ORDER = NUMERIC_COLUMNS + ["DTIRatio"] + CATEGORICAL_COLUMNS
-
 # --- Fixed values: advisory UI domains of the categorical fields --------------------
 
 DOMAINS = {

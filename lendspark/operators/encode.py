@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORICAL_COLUMNS, ENGINEERED_COLUMNS, ID_COL, NUMERIC_COLUMNS
+from ..constants import CATEGORICAL_COLUMNS, DEFAULT_THRESHOLD, ENGINEERED_COLUMNS, ID_COL, NUMERIC_COLUMNS
 
 # A categorical column with more distinct values than this is refused:
 # every category becomes a feature column, so the spec must stay small.
@@ -166,7 +166,8 @@ def save_spec(spark: SparkSession, spec: FeatureSpec, path: str, threshold: floa
     spec_frame(spark, spec, threshold).coalesce(1).write.mode("overwrite").json(path)
 
 
-def load_spec(spark: SparkSession, path: str, default_threshold: float = 0.50) -> tuple[FeatureSpec, float]:
+def load_spec(spark: SparkSession, path: str,
+              default_threshold: float = DEFAULT_THRESHOLD) -> tuple[FeatureSpec, float]:
     """S3: read spec and threshold back; a missing threshold falls back to 0.50."""
     row = spark.read.schema("spec string, threshold double").json(path).first()
     if row is None:

@@ -40,34 +40,41 @@ def fitted(spark: SparkSession, sf_dir: str, name: str, make):
     return _STATE[key]
 
 
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application table of a data folder (a lazy plan, built once per session)."""
+    return fitted(spark, sf_dir, "apps", lambda: load_applications(spark, sf_dir))
+
+
 def calibrated_threshold(spark: SparkSession, sf_dir: str) -> float:
     """T2 over all applications (model score vs label)."""
-    return fitted(spark, sf_dir, "threshold", lambda: metrics.pick_threshold(load_applications(spark, sf_dir)))
+    return fitted(spark, sf_dir, "threshold", lambda: metrics.pick_threshold(applications(spark, sf_dir)))
 
 
 def valid_ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     """Valid applications with features and rule steps, and the calibrated threshold."""
-    apps = load_applications(spark, sf_dir)
-    t = calibrated_threshold(spark, sf_dir)
-    valid = validate_applications(apps).filter("is_valid").drop("violations", "is_valid")
-    return scoring.rule_adjusted(valid), t
+    def build():
+        valid = validate_applications(applications(spark, sf_dir)).filter("is_valid").drop("violations", "is_valid")
+        return scoring.rule_adjusted(valid)
+    return fitted(spark, sf_dir, "ruled", build), calibrated_threshold(spark, sf_dir)
 
 
 def scored_table(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    ruled, t = valid_ruled(spark, sf_dir)
-    return scoring.decide(ruled, t, keep)
+    def build():
+        ruled, t = valid_ruled(spark, sf_dir)
+        return scoring.decide(ruled, t, keep)
+    return fitted(spark, sf_dir, ("scored", tuple(keep or ())), build)
 
 
 def learned_spec(spark: SparkSession, sf_dir: str) -> encode.FeatureSpec:
     """C1 categories learned on the whole table."""
     return fitted(spark, sf_dir, "spec",
-                  lambda: encode.learn_spec(engineer_features(load_applications(spark, sf_dir))))
+                  lambda: encode.learn_spec(engineer_features(applications(spark, sf_dir))))
 
 
 def test_analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.FeatureSpec, float]:
     """Test split, encoded (unscaled), with model predictions at the threshold
     calibrated on the test split (the reference's error-analysis frame)."""
-    eng = engineer_features(load_applications(spark, sf_dir))
+    eng = engineer_features(applications(spark, sf_dir))
     spec = learned_spec(spark, sf_dir)
     test = sampling.stratified_split(eng).filter("is_test")
     t = fitted(spark, sf_dir, "test_threshold", lambda: metrics.pick_threshold(test))
@@ -84,22 +91,22 @@ def test_analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encode.F
 
 def q_applications(spark, sf_dir):
     # dates/times leave as ISO text so both engines hand over the same value type
-    return load_applications(spark, sf_dir).withColumn("application_ts", F.col("application_ts").cast("string"))
+    return applications(spark, sf_dir).withColumn("application_ts", F.col("application_ts").cast("string"))
 
 
 def q_engineer_features(spark, sf_dir):
-    eng = engineer_features(load_applications(spark, sf_dir))
+    eng = engineer_features(applications(spark, sf_dir))
     return eng.select(ID_COL, "Age", "Income", "LoanAmount", "DTIRatio", "Age_Income_Interaction")
 
 
 def q_loan_profile(spark, sf_dir):
-    prof = loan_profile(load_applications(spark, sf_dir))
+    prof = loan_profile(applications(spark, sf_dir))
     return prof.select(ID_COL, F.round("monthly_payment", 6).alias("monthly_payment"), "credit_band",
                        "loan_income_ratio", "loan_income_pct")
 
 
 def q_application_display(spark, sf_dir):
-    apps = load_applications(spark, sf_dir)
+    apps = applications(spark, sf_dir)
     return apps.select(
         ID_COL,
         format_money(F.col("Income")).alias("income_text"),
@@ -115,7 +122,7 @@ def q_read_applications_csv(spark, sf_dir):
     read back with the explicit application schema (nothing inferred)."""
     from ..sources.applications import APPLICATION_SCHEMA, read_applications
     from .training import scratch_path
-    apps = load_applications(spark, sf_dir)
+    apps = applications(spark, sf_dir)
     cols = [F.col(f.name) if f.name in apps.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in APPLICATION_SCHEMA.fields]
     path = scratch_path(spark, "applications-csv")
@@ -132,7 +139,7 @@ def q_decision_memo(spark, sf_dir):
 
 
 def q_validate_applications(spark, sf_dir):
-    v = validate_applications(load_applications(spark, sf_dir))
+    v = validate_applications(applications(spark, sf_dir))
     return v.select(ID_COL, "is_valid", F.concat_ws(",", "violations").alias("violations"))
 
 
@@ -170,20 +177,20 @@ def _rounded_rates(df):
 
 
 def q_threshold_curve(spark, sf_dir):
-    return _rounded_rates(metrics.threshold_curve(load_applications(spark, sf_dir)))
+    return _rounded_rates(metrics.threshold_curve(applications(spark, sf_dir)))
 
 
 def q_pick_threshold(spark, sf_dir):
-    curve = metrics.threshold_curve(load_applications(spark, sf_dir))
+    curve = metrics.threshold_curve(applications(spark, sf_dir))
     return _rounded_rates(metrics.pick_threshold_frame(curve).drop("recall_gap"))
 
 
 def q_cost_threshold(spark, sf_dir):
-    return monitor.cost_threshold(load_applications(spark, sf_dir))
+    return monitor.cost_threshold(applications(spark, sf_dir))
 
 
 def q_pr_curve(spark, sf_dir):
-    return _rounded_rates(monitor.pr_curve(load_applications(spark, sf_dir)))
+    return _rounded_rates(monitor.pr_curve(applications(spark, sf_dir)))
 
 
 def q_binary_metrics(spark, sf_dir):
@@ -227,34 +234,34 @@ def q_group_sample(spark, sf_dir):
 # --- splitting and sampling ----------------------------------------------------------
 
 def q_stratified_split(spark, sf_dir):
-    return sampling.stratified_split(load_applications(spark, sf_dir)).select(ID_COL, TARGET_COL, "is_test")
+    return sampling.stratified_split(applications(spark, sf_dir)).select(ID_COL, TARGET_COL, "is_test")
 
 
 def q_stratified_split_exact(spark, sf_dir):
-    apps = load_applications(spark, sf_dir)
+    apps = applications(spark, sf_dir)
     return sampling.stratified_split_exact(apps, ID_COL, TARGET_COL).select(ID_COL, TARGET_COL, "is_test")
 
 
 def q_class_balance(spark, sf_dir):
-    s = sampling.stratified_split(load_applications(spark, sf_dir))
+    s = sampling.stratified_split(applications(spark, sf_dir))
     s = s.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train"))
     return sampling.class_balance(s, TARGET_COL, ["split"])
 
 
 def q_stratified_sample(spark, sf_dir):
-    train, _ = sampling.train_test(load_applications(spark, sf_dir))
+    train, _ = sampling.train_test(applications(spark, sf_dir))
     return sampling.stratified_sample(train).select(ID_COL, TARGET_COL)
 
 
 # --- encoding and scaling ------------------------------------------------------------
 
 def q_onehot_train(spark, sf_dir):
-    eng = engineer_features(load_applications(spark, sf_dir))
+    eng = engineer_features(applications(spark, sf_dir))
     return encode.onehot(eng, learned_spec(spark, sf_dir))
 
 
 def _fitted_spec(spark, sf_dir):
-    eng = engineer_features(load_applications(spark, sf_dir))
+    eng = engineer_features(applications(spark, sf_dir))
 
     def fit():
         spec = learned_spec(spark, sf_dir)
@@ -273,7 +280,7 @@ def q_scaler_fit(spark, sf_dir):
 
 
 def q_prepare_inference(spark, sf_dir):
-    apps = load_applications(spark, sf_dir)
+    apps = applications(spark, sf_dir)
     _, spec = _fitted_spec(spark, sf_dir)
     test = sampling.stratified_split(apps).filter("is_test")
     scaled = encode.prepare_inference(test, spec)
@@ -296,12 +303,12 @@ def q_latency_summary(spark, sf_dir):
 
 
 def q_check_rollup(spark, sf_dir):
-    v = validate_applications(load_applications(spark, sf_dir))
+    v = validate_applications(applications(spark, sf_dir))
     return checks.check_rollup(v, "is_valid", ["LoanPurpose"])
 
 
 def q_feature_drift(spark, sf_dir):
-    eng = engineer_features(load_applications(spark, sf_dir))
+    eng = engineer_features(applications(spark, sf_dir))
     current = F.col("application_ts") >= F.lit(DRIFT_CUTOFF).cast("timestamp_ntz")
     return monitor.feature_drift(eng, DRIFT_FEATURES, current)
 
@@ -317,7 +324,7 @@ def q_group_error_rates(spark, sf_dir):
 
 
 def q_domain_report(spark, sf_dir):
-    return monitor.domain_report(load_applications(spark, sf_dir), CATEGORICAL_COLUMNS)
+    return monitor.domain_report(applications(spark, sf_dir), CATEGORICAL_COLUMNS)
 
 
 SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
