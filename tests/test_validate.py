@@ -27,3 +27,12 @@ def test_split_keeps_every_row(tiny_apps):
     valid, bad = split_valid(tiny_apps)
     assert valid.count() + bad.count() == tiny_apps.count()
     assert bad.filter("Income > 0").count() == 0   # only zero incomes fail on the fixture
+
+
+def test_float_columns_nan_and_fraction(spark):
+    cols = ("Age double, Income double, LoanAmount double, CreditScore int, MonthsEmployed int, "
+            "NumCreditLines int, InterestRate double, LoanTerm int, " + ", ".join(f"{c} string" for c in CATEGORICAL_COLUMNS))
+    ok = [40.0, 5000.0, 1000.0, 700, 10, 2, 5.0, 12] + ["x"] * 7
+    rows = [ok, [40.5] + ok[1:], [40.0, float("nan")] + ok[2:], [40.0, 5000.0, 1000.0, 700, 10, 2, -1.0, 12] + ["x"] * 7]
+    got = [r["violations"] for r in validate_applications(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [[], ["Age:type"], ["Income:type"], ["InterestRate:ge_0"]]
