@@ -281,6 +281,8 @@ SELECT "LoanID", model_probability, p7 AS adjusted_probability, model_class, fin
   'default-review-2026-04-19' AS rule_version, round(t, 3) AS threshold,
   CASE WHEN final_class = 0 THEN 'Onaylanabilir Profil' ELSE 'Manuel İnceleme' END AS decision
 FROM scored"""
+    # the stream scorer writes exactly the batch decision rows
+    q["stream_score"] = q["score_applications"]
     audit_rows = " UNION ALL ".join(
         f"SELECT \"LoanID\", {i} AS pos, '{rid}' AS rule_id, CAST({m} AS DOUBLE) AS multiplier, "
         f"round(p{i - 1} * CAST(100 AS DOUBLE), 2) AS before_pct, round(p{i} * CAST(100 AS DOUBLE), 2) AS after_pct "
