@@ -399,6 +399,11 @@ ELSE printf(
   'Başvuru manuel inceleme bandında. Model skoru %s, iş kuralları sonrası skor %s. DTI %s; gelir yükü, kredi notu ve istihdam sinyalleri kredi uzmanı tarafından gözden geçirilmeli.',
   {pct('model_probability')}, {pct('p7')}, format('{{:.4f}}', round(round("DTIRatio", 4), 4)))
 END AS memo FROM scored"""
+    q["smote_oversample"] = f"""WITH {APPS},
+c AS (SELECT "Default" AS label, CAST(COUNT(*) AS BIGINT) AS n FROM apps WHERE NOT {SPLIT_EXPR} GROUP BY 1),
+m AS (SELECT arg_min(label, (n, label)) AS minor, MAX(n) - MIN(n) AS extra FROM c)
+SELECT label, false AS is_synthetic, n FROM c
+UNION ALL SELECT minor, true, extra FROM m WHERE extra > 0"""
     q["class_balance"] = f"""WITH {APPS}
 SELECT CASE WHEN {SPLIT_EXPR} THEN 'test' ELSE 'train' END AS split, "Default", CAST(COUNT(*) AS BIGINT) AS n
 FROM apps GROUP BY ALL"""
