@@ -474,6 +474,12 @@ SELECT feature, round(psi, 6) AS psi,
 agg AS ({_decision_metrics("CAST(CAST(date_trunc('quarter', application_ts) AS DATE) AS VARCHAR) AS period_start",
                           "scored")})
 SELECT period_start, n, n_default, n_approvable, tp, fp, fn, tn, {_rates()[2:]} FROM agg"""
+    # N6 on the stream: 90-day tumbling windows counted from 1970-01-01 (Spark's window origin)
+    win = "DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', application_ts) / 90.0) * 90 AS INTEGER)"
+    q["periodic_metrics_stream"] = f"""{BASE_SCORED},
+agg AS ({_decision_metrics(f"CAST({win} AS VARCHAR) AS window_start, CAST({win} + 90 AS VARCHAR) AS window_end",
+                          "scored")})
+SELECT window_start, window_end, n, n_default, n_approvable, tp, fp, fn, tn, {_rates()[2:]} FROM agg"""
     attrs = ["Education", "EmploymentType", "MaritalStatus", "LoanPurpose"]
     long = " UNION ALL ".join(f"SELECT {_lit(a)} AS attribute, {_q(a)} AS value, \"Default\", final_class, p7 "
                               f"FROM scored" for a in attrs)
