@@ -126,10 +126,12 @@ def feature_drift(df: DataFrame, features: list[str], is_current: Column, n_bins
                                                   F.col(f).cast("double").alias("x")) for f in features])).alias("kv")
                      ).select("is_current", "kv.feature", "kv.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
     base = long.filter(~F.col("is_current"))
-    n_base = base.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    ranks = n_base.select("feature", F.explode(F.sequence(F.lit(1), F.lit(n_bins - 1))).alias("rank_id"), "n") \
+    n_base = base.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                         F.max("x").alias("hi"))
+    ranks = n_base.select("feature", F.explode(F.sequence(F.lit(1), F.lit(n_bins - 1))).alias("rank_id"), "n",
+                          "lo", "hi") \
         .select("feature", "rank_id", ((F.col("rank_id") * F.col("n") + (n_bins - 1)) / n_bins).cast("long")
-                .alias("k"))
+                .alias("k"), "lo", "hi")
     edges = kth_smallest(base, ["feature"], "x", ranks)
     # edges: (features x (n_bins-1)) rows -- bounded by the feature list, so broadcast
     edge_arr = edges.groupBy("feature").agg(F.collect_list("value").alias("edges"))

@@ -23,12 +23,27 @@ MAX_PASSES = 10
 MAX_LOCAL_STATE = 100_000
 
 
+def materialize_small(df: DataFrame, max_rows: int = MAX_LOCAL_STATE) -> DataFrame:
+    """Compute a summary table once for several uses.
+
+    At most ``max_rows`` rows: kept as a local relation (proven small, so
+    joins broadcast it).  Larger: checkpointed to the shared folder.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return df.sparkSession.createDataFrame(rows, df.schema) if rows else df.limit(0)
+    return cut_lineage(df)
+
+
 def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks: DataFrame,
                  buckets: int = BUCKETS, max_passes: int = MAX_PASSES,
                  max_local_state: int = MAX_LOCAL_STATE) -> DataFrame:
     """k-th smallest non-null, non-NaN ``value_col`` per group and rank.
 
     ``ranks`` holds ``group_cols + [rank_id, k]`` with 1 <= k <= count.
+    It may also carry ``lo`` and ``hi``, the group's minimum and maximum
+    non-null, non-NaN value, when the caller's own aggregation already has
+    them; that saves the separate bounds pass over the values.
     Returns ``group_cols + [rank_id, value]``.
 
     The search state has one row per (group, rank).  When that is at most
@@ -47,12 +62,16 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
     # every pass re-reads the values: keep them (memory, spilling to disk) for the
     # duration; a lost block is recomputed from the short lineage
     v = v.persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = v.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    state = (ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"))
-             .join(bounds, g)
-             .withColumn("below", F.lit(0).cast("long")))
-    n_state = ranks.count()
-    local = n_state <= max_local_state
+    if "lo" in ranks.columns and "hi" in ranks.columns:
+        state = ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"),
+                             F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    else:
+        bounds = v.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        state = ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k")).join(bounds, g)
+    state = state.withColumn("below", F.lit(0).cast("long"))
+    # one job decides where the state lives: a bounded probe of it
+    probe = state.limit(max_local_state + 1).collect()
+    local = len(probe) <= max_local_state
 
     def settle(df: DataFrame) -> tuple[DataFrame, int]:
         """Materialise the state; returns it with its number of open rows."""
@@ -66,7 +85,11 @@ def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks:
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if local else broadcast_if_small(df)
 
-    state, n_open = settle(state)
+    if local:
+        state = spark.createDataFrame(probe, state.schema) if probe else state.limit(0)
+        n_open = sum(1 for r in probe if r["lo"] is not None and r["hi"] is not None and r["lo"] < r["hi"])
+    else:
+        state, n_open = settle(state)
     for _ in range(max_passes):
         if n_open == 0:
             break

@@ -61,3 +61,24 @@ def test_kth_smallest_checkpointed_state(spark):
     got = {r["g"]: r["value"] for r in kth_smallest(df, ["g"], "v", ranks, max_local_state=5).collect()}
     for g in range(30):
         assert got[g] == sorted(v for gg, v in rows if gg == g)[19]
+
+
+def test_kth_smallest_with_given_bounds(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v)) for g in range(3) for v in rng.exponential(5.0, size=400 + 100 * g).round(3)]
+    rows += [(1, float("nan")), (1, None), (2, 7.0), (2, 7.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    clean = df.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    stats = clean.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = stats.select("g", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank_id"), "n", "lo", "hi") \
+        .select("g", "rank_id", (F.col("n") * F.col("rank_id") / 3).cast("long").alias("k"), "lo", "hi")
+    with_bounds = {(r["g"], r["rank_id"]): r["value"] for r in kth_smallest(df, ["g"], "v", ranks).collect()}
+    without = {(r["g"], r["rank_id"]): r["value"]
+               for r in kth_smallest(df, ["g"], "v", ranks.drop("lo", "hi")).collect()}
+    expected = {}
+    for g in range(3):
+        vals = np.sort([v for gg, v in rows if gg == g and v is not None and v == v])
+        for rid in (1, 2):
+            expected[(g, rid)] = float(vals[int(len(vals) * rid / 3) - 1])
+    assert with_bounds == without == expected
