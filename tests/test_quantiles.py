@@ -82,3 +82,14 @@ def test_kth_smallest_with_given_bounds(spark):
         for rid in (1, 2):
             expected[(g, rid)] = float(vals[int(len(vals) * rid / 3) - 1])
     assert with_bounds == without == expected
+
+
+def test_kth_smallest_geometric_spread_needs_no_fallback(spark):
+    # values 2**-300 .. 2**300 in steps of 2**10: each linear pass removes ~16 binades (~38 passes)
+    vals = [float(2.0 ** e) for e in range(-300, 301, 10)] + [0.0, -5.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    srt = sorted(vals)
+    ks = [1, 2, 3, 4, len(vals) // 2, len(vals)]
+    ranks = spark.createDataFrame([(i, k) for i, k in enumerate(ks)], "rank_id int, k long")
+    got = {r["rank_id"]: r["value"] for r in kth_smallest(df, [], "v", ranks).collect()}
+    assert got == {i: srt[k - 1] for i, k in enumerate(ks)}
