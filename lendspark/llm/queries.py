@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lendspark.session import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm import language_id as L
+    docs = read_table(spark, sf_dir, "documents")
+    return L.predict(docs, L.train(docs))
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm import quality_fm as Q
+    docs = read_table(spark, sf_dir, "documents")
+    return Q.score(docs, Q.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm import quality_rules as Q
     docs = read_table(spark, sf_dir, "documents")
@@ -17,6 +29,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op8_quality_fm": op8_quality_fm,
     "op10_quality_rules": op10_quality_rules,
 }
 
