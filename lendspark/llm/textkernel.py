@@ -195,11 +195,15 @@ def in_row(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def distinct_in_rows(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each row, end to end, and the rows' ranges."""
-    order = np.lexsort((hashes, rows))
-    h, r = hashes[order], rows[order]
+    """Sorted distinct hashes of each row, end to end, and the rows' ranges; rows are in order."""
+    h = hashes.copy()
+    edges = np.searchsorted(rows, np.arange(n_rows + 1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            h[a:b].sort()
     keep = np.ones(len(h), dtype=bool)
     if len(h) > 1:
-        keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    h, r = h[keep], r[keep]
-    return h, np.searchsorted(r, np.arange(n_rows + 1))
+        keep[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    total = np.zeros(len(h) + 1, dtype=np.int64)
+    np.cumsum(keep, out=total[1:])
+    return h[keep], total[edges]
