@@ -30,12 +30,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm.minhash import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm import quality_fm as Q
     docs = read_table(spark, sf_dir, "documents")
     return Q.score(docs, Q.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm.suffix_tree import score
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm import quality_rules as Q
     docs = read_table(spark, sf_dir, "documents")
@@ -47,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op5_packing": op5_packing,
+    "op6_minhash": op6_minhash,
     "op8_quality_fm": op8_quality_fm,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_rules": op10_quality_rules,
 }
 
