@@ -24,6 +24,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm.html_text import extract_pages
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm.packing import pack
     return (pack(read_table(spark, sf_dir, "documents"))
@@ -35,6 +40,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm.unit_dedup import dedup_units
+    spans = F.array_join(F.transform("_removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return (dedup_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", F.size("_removed").cast("long").alias("n_removed"), spans.alias("removed"),
+                    F.coalesce("text", F.lit("")).alias("text")))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm import quality_fm as Q
     docs = read_table(spark, sf_dir, "documents")
@@ -56,8 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_text": op3_html_text,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
+    "op7_unit_dedup": op7_unit_dedup,
     "op8_quality_fm": op8_quality_fm,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_rules": op10_quality_rules,
@@ -83,4 +98,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
        CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
        coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    # lines of at least 13 words: all but the first of a kind go
+    "op7_unit_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+w AS (SELECT doc_id, line, pos, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x20\x09-\x0D]+') AS words FROM l),
+r AS (SELECT doc_id, line, pos, len(words) >= 13 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) > 1 AS gone,
+             sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start FROM w)
+SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY pos) FILTER (gone), '') AS removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id""",
 }
