@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendspark.llm.license_scan import TEMPLATES
 from lendspark.session import read_table
 
 
@@ -29,6 +30,24 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths, so it is laid out as files: source / four hundreds of ids / language / id.
+
+    Documents that end with a line on a licence are licence files; English ones
+    stand one directory higher, so other languages have two places to inherit from.
+    """
+    from lendspark.llm.license_scan import CUE, scan
+    docs = read_table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("long")
+    top = F.concat_ws("/", "source", F.floor(number / 400))
+    low = F.concat_ws("/", top, "lang")
+    path = (F.when(~F.element_at(F.split("text", "\n"), -1).rlike(CUE) | F.col("text").isNull(),
+                   F.concat_ws("/", low, F.concat(number, F.lit(".txt"))))
+            .otherwise(F.concat_ws("/", F.when(F.col("lang") == "en", top).otherwise(low), F.concat(F.lit("LICENSE."), number))))
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("key"), path.alias("path"), "text"))
+    return found.select(F.col("key").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "license_path")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm.packing import pack
     return (pack(read_table(spark, sf_dir, "documents"))
@@ -70,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_html_text": op3_html_text,
+    "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_unit_dedup": op7_unit_dedup,
@@ -110,4 +130,41 @@ SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
        coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY pos) FILTER (gone), '') AS removed,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
 FROM r GROUP BY doc_id""",
+    "op4_license_scan": r"""
+WITH t(license, statement) AS (VALUES
+@TEMPLATES@),
+tw AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM t)
+       GROUP BY license, word),
+v AS (SELECT DISTINCT word FROM tw),
+n AS (SELECT count(text) AS n FROM documents),
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS word FROM documents WHERE text IS NOT NULL),
+df AS (SELECT word, count(*) AS df FROM d JOIN v USING (word) GROUP BY word),
+idf AS (SELECT v.word, ln((1.0 + n.n) / (1.0 + coalesce(df.df, 0))) + 1.0 AS idf FROM v LEFT JOIN df ON df.word = v.word, n),
+tv AS (SELECT license, word, tf * idf AS w FROM tw JOIN idf USING (word)),
+tn AS (SELECT license, word, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS t FROM tv),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+      FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM l
+      WHERE regexp_matches(s, '(?i)licen[cs]e|copyright|copyleft|spdx|public domain|all rights reserved|\bgpl|\bwarrant')),
+cw AS (SELECT doc_id, line, c.word, count(*) * coalesce(any_value(idf), (SELECT ln(1.0 + n) + 1.0 FROM n)) AS w
+       FROM c LEFT JOIN idf USING (word) GROUP BY doc_id, line, c.word),
+cn AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM cw GROUP BY doc_id, line),
+s AS (SELECT doc_id, line, license, round(sum(w * t) / any_value(norm), 9) AS score
+      FROM cw JOIN cn USING (doc_id, line) JOIN tn USING (word) GROUP BY doc_id, line, license),
+own AS (SELECT doc_id, license, score FROM s WHERE score >= 0.6
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1),
+p AS (SELECT doc_id, source || '/' || (doc_id // 400) AS top, source || '/' || (doc_id // 400) || '/' || lang AS low, lang,
+             regexp_matches(string_split(coalesce(text, ''), chr(10))[-1],
+                            '(?i)licen[cs]e|copyright|copyleft|spdx|public domain|all rights reserved|\bgpl|\bwarrant') AS is_licence FROM documents),
+f AS (SELECT doc_id, CASE WHEN NOT is_licence THEN low WHEN lang = 'en' THEN top ELSE low END AS dir, is_licence,
+             CASE WHEN NOT is_licence THEN low || '/' || doc_id || '.txt'
+                  ELSE (CASE WHEN lang = 'en' THEN top ELSE low END) || '/LICENSE.' || doc_id END AS path, top FROM p),
+g AS (SELECT dir, license, score, path FROM f JOIN own USING (doc_id) WHERE is_licence
+      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1)
+SELECT f.doc_id, f.path, coalesce(own.license, near.license, above.license) AS license,
+       round(CASE WHEN own.license IS NOT NULL THEN own.score WHEN near.license IS NOT NULL THEN near.score ELSE above.score END, 6) AS score,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN coalesce(near.license, above.license) IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own.license IS NOT NULL THEN f.path ELSE coalesce(near.path, above.path) END AS license_path
+FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN g AS near ON near.dir = f.dir LEFT JOIN g AS above ON above.dir = f.top""".replace(
+        "@TEMPLATES@", ",\n".join(f"('{name}', '{statement}')" for name, statement in TEMPLATES)),
 }
