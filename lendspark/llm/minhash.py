@@ -216,6 +216,18 @@ def _linked(keys: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each component, columns unchanged."""
-    drop = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_dropped"], "left_anti")
+    """The rows of ``docs`` whose document stays: one of each component, columns unchanged.
+
+    Of rows that share an id one stays, that of the smallest text hash; rows with a null id all stay.
+    """
+    found = stage(near_duplicates(docs, k, percent))
+    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["_id"], "left_anti")
+    again = stage(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id")
+                  .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, kept["doc_id"].cast("long") == again["_id"], "left_semi")
+    one = (several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("r"))
+           .select("r.*"))
+    return kept.join(again, kept["doc_id"].cast("long") == again["_id"], "left_anti").unionByName(one)
