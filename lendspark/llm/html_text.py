@@ -49,6 +49,7 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "copyright disclaimer skip".split())
 CONTENT = frozenset("content article post main story entry".split())
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _WHITE = re.compile(r"\s+")
 
 
@@ -167,6 +168,9 @@ def blocks_of(html: str) -> list[str]:
     reader = Reader()
     for at in range(0, len(html), PIECE):
         reader.feed(html[at:at + PIECE])
+    left = _UNFINISHED.search(reader.rawdata)                 # a tag that the page breaks off in is no text
+    if left:
+        reader.rawdata = reader.rawdata[:left.start()]
     reader.close()
     reader.flush()
     texts, lines = [], []

@@ -62,7 +62,7 @@ def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
         joined = np.concatenate([tail, codes])
         keys = _gram_keys(joined.astype(np.uint64), len(tail))
         tail = joined[-(max(ORDERS) - 1):]
-        if counts is None and len(text) <= SHORT:
+        if len(text) <= min(SHORT, PIECE):
             if not any_letter:
                 break
             keys.sort(kind="stable")                    # radix sort of 16 bits

@@ -122,10 +122,11 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int
             bins[i], used = used, used + 1
             continue
         have = n[s:]
-        # change of the sum of squares when a bin moves from gap g to gap g - s (half of it, less a constant)
+        # change of the sum of squares when a bin moves from gap g to gap g - s; a bin without a gap is no longer open
         c = cost[:len(have)]
-        np.negative(have, out=c)
-        c[1:] += n[1:capacity + 1 - s] + 1
+        np.multiply(have, -2, out=c)
+        c[0] += 1
+        c[1:] += 2 * n[1:capacity + 1 - s] + 2
         c[have == 0] = closed
         k = int(np.argmin(c))
         gap = s + k
