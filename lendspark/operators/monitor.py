@@ -52,41 +52,38 @@ def _clamp01(x: Column) -> Column:
 
 
 def rule_effect(ruled: DataFrame, threshold: float, label_col: str = "Default") -> DataFrame:
-    """Leave-one-rule-out effect on FP and recall, all in one pass.
+    """Leave-one-rule-out effect on FP and recall.
 
-    Every row is expanded into 8 variants (a fixed-size explode: variant 0
-    keeps all rules, variant i leaves rule i out); one stepwise chain per
-    variant row, then a group-by on the variant whose partial aggregation
-    leaves 8 rows per task to shuffle.
+    One aggregate of 8 variants (0 keeps all rules, i leaves rule i out) times 4
+    conditional counts, so a task sends one row; ``stack`` turns the single
+    row into a row per variant, which carries the baseline along.
     """
     t = F.lit(float(threshold))
-    y = F.col(label_col)
     names = ["all_rules"] + [f"without_{r.id}" for r in RULES]
-    flags = [f"_f{r.position}" for r in RULES]
-    df = ruled.select(y.alias("_y"), F.col("model_probability").cast("double").alias("_q0"), *flags,
-                      F.explode(F.array(*[F.lit(i) for i in range(len(names))])).alias("variant_order"))
-    prev = "_q0"
-    for r in RULES:
-        fired = F.col(f"_f{r.position}") & (F.col("variant_order") != r.position)
-        df = df.withColumn(f"_q{r.position}", F.when(fired, _clamp01(F.col(prev) * F.lit(float(r.multiplier))))
-                           .otherwise(F.col(prev)))
-        prev = f"_q{r.position}"
-    pred = F.col(prev) >= t
-    yy = F.col("_y")
-    counts = df.groupBy("variant_order").agg(
-        _cnt((yy == 1) & pred).alias("tp"), _cnt((yy == 0) & pred).alias("fp"),
-        _cnt((yy == 1) & ~pred).alias("fn"), _cnt((yy == 0) & ~pred).alias("tn"))
-    variant = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("variant_order") + 1)
-    long = with_rates(counts.withColumn("variant", variant))
-    base = long.filter(F.col("variant_order") == 0).select(F.col("fp").alias("base_fp"),
-                                                           F.col("recall").alias("base_recall"))
-    # one-row baseline joined on a constant key (no cross join)
-    long = long.withColumn("_k", F.lit(0)).join(base.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    y = F.col(label_col)
+
+    variants = range(len(names))
+    df = ruled.select(y.alias("_y"), *[f"_f{r.position}" for r in RULES],
+                      *[F.col("model_probability").cast("double").alias(f"_q{i}") for i in variants])
+    for r in RULES:                 # one projection per rule, so no expression is written out twice
+        fired = F.col(f"_f{r.position}")
+        df = df.withColumns({f"_q{i}": F.when(fired, _clamp01(F.col(f"_q{i}") * F.lit(float(r.multiplier)))).otherwise(F.col(f"_q{i}"))
+                             for i in variants if i != r.position})
+    predicted = df.select("_y", *[(F.col(f"_q{i}") >= t).alias(f"_p{i}") for i in variants])
+    yy, counts = F.col("_y"), []
+    for i in range(len(names)):
+        p = F.col(f"_p{i}")
+        counts += [_cnt((yy == 1) & p).alias(f"tp{i}"), _cnt((yy == 0) & p).alias(f"fp{i}"),
+                   _cnt((yy == 1) & ~p).alias(f"fn{i}"), _cnt((yy == 0) & ~p).alias(f"tn{i}")]
+    one = predicted.agg(*counts)
+    rows = ", ".join(f"'{n}', {i}, tp{i}, fp{i}, fn{i}, tn{i}, tp0, fp0, fn0" for i, n in enumerate(names))
+    long = with_rates(one.selectExpr(f"stack({len(names)}, {rows}) AS (variant, variant_order, tp, fp, fn, tn, _tp, _fp, _fn)"))
+    base_recall = _zero_div(F.col("_tp"), F.col("_tp") + F.col("_fn"))
     return long.select(
         "variant", F.col("variant_order").cast("int"), "tp", "fp", "fn", "tn",
         F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"),
-        (F.col("fp") - F.col("base_fp")).alias("fp_added_without_rule"),
-        F.round(F.col("base_recall") - F.col("recall"), 6).alias("recall_lost_without_rule"),
+        (F.col("fp") - F.col("_fp")).alias("fp_added_without_rule"),
+        F.round(base_recall - F.col("recall"), 6).alias("recall_lost_without_rule"),
     )
 
 
@@ -117,7 +114,7 @@ def feature_drift(df: DataFrame, features: list[str], is_current: Column, n_bins
     """Population stability index of each feature, baseline vs current.
 
     Bin edges are the exact baseline quantiles (the ``ceil(i*n/n_bins)``-th
-    smallest value, i = 1..n_bins-1) from histogram refinement; a value
+    smallest value, i = 1..n_bins-1), found 16 bits at a time; a value
     falls in the bin counting the edges strictly below it.  Shares are
     floored at 1e-4 before ``sum((c - b) * ln(c / b))``.
     """
@@ -126,12 +123,9 @@ def feature_drift(df: DataFrame, features: list[str], is_current: Column, n_bins
                                                   F.col(f).cast("double").alias("x")) for f in features])).alias("kv")
                      ).select("is_current", "kv.feature", "kv.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
     base = long.filter(~F.col("is_current"))
-    n_base = base.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                         F.max("x").alias("hi"))
-    ranks = n_base.select("feature", F.explode(F.sequence(F.lit(1), F.lit(n_bins - 1))).alias("rank_id"), "n",
-                          "lo", "hi") \
-        .select("feature", "rank_id", ((F.col("rank_id") * F.col("n") + (n_bins - 1)) / n_bins).cast("long")
-                .alias("k"), "lo", "hi")
+    n_base = base.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    ranks = n_base.select("feature", F.explode(F.sequence(F.lit(1), F.lit(n_bins - 1))).alias("rank_id"), "n") \
+        .select("feature", "rank_id", ((F.col("rank_id") * F.col("n") + (n_bins - 1)) / n_bins).cast("long").alias("k"))
     edges = kth_smallest(base, ["feature"], "x", ranks)
     # edges: (features x (n_bins-1)) rows -- bounded by the feature list, so broadcast
     edge_arr = edges.groupBy("feature").agg(F.collect_list("value").alias("edges"))

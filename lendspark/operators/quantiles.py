@@ -1,136 +1,87 @@
 """Exact order statistics without a global sort or a one-group window.
 
-``kth_smallest`` finds the k-th smallest value per group by histogram
-refinement: each pass counts values into 65,536 equal-width buckets of the
-current interval (a partial, map-side combined aggregation, so a group
-holding a third of all rows costs no more than any other), picks the bucket
-that holds rank k, and narrows the interval to that bucket's [min, max].
-Two or three passes resolve typical data; the search state (one row per
-group and rank) is materialised between passes to keep the lineage short.
-
-Each pass shrinks the width of every open interval by a factor of at least
-``BUCKETS`` (2**16).  Doubles span less than 2**2100 from the widest range to
-the smallest gap between two values, so ``MAX_PASSES`` = 140 passes resolve
-any input (values spread geometrically over hundreds of orders of magnitude
-are the slow case), and no group is ever ranked row by row.
+``kth_smallest`` works on an order-preserving 64-bit integer image of the value
+(the IEEE 754 bits, with the magnitude bits of negative numbers flipped), so any
+double, infinite or subnormal, is treated alike.  The image is settled 16 bits at a
+time: a pass counts the rows of each open prefix by their next 16 bits (a
+partial, map-side combined aggregation, so a group holding a third of all rows
+costs no more than any other), and the digit that holds the rank extends the
+prefix.  Four passes end the search for every input.
+
+The search state has a row per group and rank and is checkpointed after each pass.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
-BUCKETS = 65536
-MAX_PASSES = 140
-MAX_LOCAL_STATE = 100_000
+DIGIT_BITS = 16
+_LOW = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
-def materialize_small(df: DataFrame, max_rows: int = MAX_LOCAL_STATE) -> DataFrame:
-    """Compute a summary table once for several uses.
+def _image(bits: np.ndarray) -> np.ndarray:
+    """Flips the magnitude bits of negative numbers; its own inverse."""
+    return bits ^ ((bits >> np.int64(63)) & _LOW)
+
+
+@F.pandas_udf(T.LongType())
+def ordered_bits(v: pd.Series) -> pd.Series:
+    """Integer image of a double; -0.0 counts as 0.0."""
+    return pd.Series(_image((v.to_numpy(dtype=np.float64) + 0.0).view(np.int64)))
 
-    At most ``max_rows`` rows: kept as a local relation (proven small, so
-    joins broadcast it).  Larger: checkpointed to the shared folder.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return df.sparkSession.createDataFrame(rows, df.schema) if rows else df.limit(0)
-    return cut_lineage(df)
 
+@F.pandas_udf(T.DoubleType())
+def from_ordered_bits(k: pd.Series) -> pd.Series:
+    return pd.Series(_image(k.to_numpy(dtype=np.int64)).view(np.float64))
 
-def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks: DataFrame,
-                 buckets: int = BUCKETS, max_passes: int = MAX_PASSES,
-                 max_local_state: int = MAX_LOCAL_STATE) -> DataFrame:
+
+def kth_smallest(vals: DataFrame, group_cols: list[str], value_col: str, ranks: DataFrame) -> DataFrame:
     """k-th smallest non-null, non-NaN ``value_col`` per group and rank.
 
     ``ranks`` holds ``group_cols + [rank_id, k]`` with 1 <= k <= count.
-    It may also carry ``lo`` and ``hi``, the group's minimum and maximum
-    non-null, non-NaN value, when the caller's own aggregation already has
-    them; that saves the separate bounds pass over the values.
     Returns ``group_cols + [rank_id, value]``.
-
-    The search state has one row per (group, rank).  When that is at most
-    ``max_local_state`` rows it is kept on the driver between passes (a
-    proven-small table, re-sent as a broadcast); otherwise it is
-    checkpointed to the shared checkpoint folder after every pass.
     """
-    spark = vals.sparkSession
-    g = list(group_cols)
-    if not g:
-        vals = vals.withColumn("_g", F.lit(0))
-        ranks = ranks.withColumn("_g", F.lit(0))
-        g = ["_g"]
-    v = (vals.select(*g, F.col(value_col).cast("double").alias("v"))
-         .filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    # every pass re-reads the values: keep them (memory, spilling to disk) for the
-    # duration; a lost block is recomputed from the short lineage
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)
-    if "lo" in ranks.columns and "hi" in ranks.columns:
-        state = ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"),
-                             F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
-    else:
-        bounds = v.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        state = ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k")).join(bounds, g)
-    state = state.withColumn("below", F.lit(0).cast("long"))
-    # one job decides where the state lives: a bounded probe of it
-    probe = state.limit(max_local_state + 1).collect()
-    local = len(probe) <= max_local_state
-
-    def settle(df: DataFrame) -> tuple[DataFrame, int]:
-        """Materialise the state; returns it with its number of open rows."""
-        if local:
-            rows = df.collect()
-            out = spark.createDataFrame(rows, df.schema) if rows else df.limit(0)
-            return out, sum(1 for r in rows if r["lo"] < r["hi"])
-        out = cut_lineage(df)
-        return out, out.filter(F.col("lo") < F.col("hi")).count()
-
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if local else broadcast_if_small(df)
-
-    if local:
-        state = spark.createDataFrame(probe, state.schema) if probe else state.limit(0)
-        n_open = sum(1 for r in probe if r["lo"] is not None and r["hi"] is not None and r["lo"] < r["hi"])
-    else:
-        state, n_open = settle(state)
-    for _ in range(max_passes):
-        if n_open == 0:
-            break
-        open_ = state.filter(F.col("lo") < F.col("hi"))
-        done = state.filter(F.col("lo") >= F.col("hi"))
-        intervals = open_.select(*g, "lo", "hi").distinct()
-        joined = v.join(small(intervals), g).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        # halves keep hi - lo finite for extreme ranges
-        frac = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        b = F.least(F.floor(frac * buckets), F.lit(buckets - 1)).cast("int")
-        hist = (joined.withColumn("b", b).groupBy(*g, "lo", "hi", "b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
-        # at most `buckets` rows per interval: a bounded window
-        w = Window.partitionBy(*g, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding,
-                                                                         Window.currentRow)
-        hist = hist.withColumn("cum", F.sum("n").over(w)).withColumn("cum_before", F.col("cum") - F.col("n"))
-        nxt = (open_.join(hist, g + ["lo", "hi"])
-               .filter((F.col("below") + F.col("cum_before") < F.col("k"))
-                       & (F.col("k") <= F.col("below") + F.col("cum")))
-               .select(*g, "rank_id", "k", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                       (F.col("below") + F.col("cum_before")).alias("below")))
-        state, n_open = settle(done.unionByName(nxt))
-    result = state.filter(F.col("lo") >= F.col("hi")).select(*g, "rank_id", F.col("lo").alias("value"))
-    if n_open:
-        # Unreachable for finite doubles (see the module note); kept as a guard for a
-        # caller's smaller max_passes: rank the values left inside each interval.
-        open_ = state.filter(F.col("lo") < F.col("hi"))
-        joined = v.join(small(open_.select(*g, "rank_id", "k", "lo", "hi", "below")), g).filter(
-            (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        w = Window.partitionBy(*g, "rank_id").orderBy("v")
-        rest = (joined.withColumn("r", F.row_number().over(w) + F.col("below"))
-                .filter(F.col("r") == F.col("k")).select(*g, "rank_id", F.col("v").alias("value")))
-        result = result.unionByName(rest)
-    if group_cols == []:
-        result = result.drop("_g")
-    result, _ = settle(result.withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(0.0)))
+    x = F.col(value_col).cast("double")
+    keyed = vals.select(*group_cols, x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    keys = kth_smallest_long(keyed.select(*group_cols, ordered_bits("_x").alias("_key")), group_cols, "_key", ranks)
+    return keys.select(*group_cols, "rank_id", from_ordered_bits("value").alias("value"))
+
+
+def kth_smallest_long(vals: DataFrame, group_cols: list[str], key_col: str, ranks: DataFrame,
+                      bits: int = 64) -> DataFrame:
+    """The same for non-null integers; ``bits``: keys fit in so many (non-negative if under 64)."""
+    g = list(group_cols) or ["_g"]
+    if not group_cols:
+        vals, ranks = vals.withColumn("_g", F.lit(0)), ranks.withColumn("_g", F.lit(0))
+    # every pass reads the values again: kept in memory or on disk for the duration; a lost block is recomputed
+    v = vals.select(*g, F.col(key_col).cast("long").alias("_v")).filter(F.col("_v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    state = ranks.select(*g, "rank_id", F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("prefix"))
+    passes = -(-bits // DIGIT_BITS)
+    for p in range(passes):
+        shift = (passes - 1 - p) * DIGIT_BITS
+        digit = F.shiftright("_v", shift)
+        if p == 0:
+            # the topmost digit carries the sign
+            rows = v.select(*g, F.lit(0).cast("long").alias("prefix"), digit.alias("d"))
+        else:
+            open_ = state.select(*g, "prefix").distinct()
+            rows = (v.select(*g, F.shiftright("_v", shift + DIGIT_BITS).alias("prefix"),
+                             digit.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).alias("d")).join(open_, [*g, "prefix"], "left_semi"))
+        hist = rows.groupBy(*g, "prefix", "d").agg(F.count(F.lit(1)).alias("n"))
+        # a row per digit and open prefix: a bounded window
+        up_to = Window.partitionBy(*g, "prefix").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = hist.withColumn("upto", F.sum("n").over(up_to))
+        inside = (F.col("upto") - F.col("n") < F.col("k")) & (F.col("k") <= F.col("upto"))
+        state = cut_lineage(state.join(hist, [*g, "prefix"]).filter(inside).select(
+            *g, "rank_id", (F.col("k") - F.col("upto") + F.col("n")).alias("k"),
+            (F.shiftleft("prefix", DIGIT_BITS) + F.col("d")).alias("prefix")))
     v.unpersist()
-    return result.drop("lo", "hi")
+    return state.select(*group_cols, "rank_id", F.col("prefix").alias("value"))

@@ -11,9 +11,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import (ATTRIBUTION_GROUP_SAMPLE, COMPARISON_TRAIN_CAP, ID_COL, RANDOM_STATE, TARGET_COL,
                          TEST_SIZE)
+from ..session import cut_lineage
+from .quantiles import kth_smallest_long
 
 BUCKETS = 10000
 
@@ -39,53 +42,65 @@ def stratified_split(df: DataFrame, key_col: str = ID_COL, test_size: float = TE
     return df.withColumn(out_col, split_bucket(F.col(key_col), seed) < cut)
 
 
-MAX_CLASSES = 1000
+def class_quotas(counts: dict, test_size: float) -> dict:
+    """Test rows per class: ``ceil(test_size * n)`` shared in proportion."""
+    return share_rows(counts, math.ceil(test_size * sum(counts.values())))
 
 
-def class_quotas(counts: dict, test_size: float) -> dict:
-    """Test rows per class: ``ceil(test_size * n)`` shared in proportion,
-    remainders to the largest fractional parts (ties by class order)."""
+def share_rows(counts: dict, n_rows: int) -> dict:
+    """``n_rows`` shared among the classes in proportion, remainders to the
+    largest fractional parts (ties by class order).  Integers throughout."""
     n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    exact = {c: n_test * k / n for c, k in counts.items()}
-    quota = {c: int(math.floor(v)) for c, v in exact.items()}
-    left = n_test - sum(quota.values())
-    for c in sorted(counts, key=lambda c: (-(exact[c] - quota[c]), str(c)))[:left]:
+    quota = {c: n_rows * k // n for c, k in counts.items()}
+    left = n_rows - sum(quota.values())
+    for c in sorted(counts, key=lambda c: (-(n_rows * counts[c] % n), str(c)))[:left]:
         quota[c] += 1
     return quota
 
 
+def flag_quota(df: DataFrame, key_col: str, label_col: str, quota: dict, salt: str, out_col: str) -> DataFrame:
+    """Flag exactly ``quota[class]`` rows of each class: those with the smallest key hashes.
+
+    The cut of a class is an exact order statistic of the 32-bit hash, found
+    without a sort; rows at the cut itself share a hash and are few, and among
+    them the smallest keys are taken, in key order of any type.
+    """
+    spark = df.sparkSession
+    label = df.schema[label_col].dataType.simpleString()
+    h = key_hash32(F.col(key_col), salt)
+    ranks = spark.createDataFrame([(c, 0, q) for c, q in quota.items() if q > 0], f"_c {label}, rank_id int, k long")
+    keyed = df.select(F.col(label_col).alias("_c"), F.col(key_col).alias("_key"), h.alias("_h")).filter(F.col("_key").isNotNull())
+    cut = kth_smallest_long(keyed, ["_c"], "_h", ranks, bits=32).select("_c", F.col("value").alias("_cut_h"))
+    # rows below the cut and the keys at it, in one pass; equal 32-bit hashes of different keys are rare
+    at = (keyed.join(cut, "_c").filter(F.col("_h") <= F.col("_cut_h")).groupBy("_c")
+          .agg(F.count_if(F.col("_h") < F.col("_cut_h")).alias("_below"),
+               F.array_sort(F.collect_set(F.when(F.col("_h") == F.col("_cut_h"), F.col("_key")))).alias("_ties"),
+               F.first("_cut_h").alias("_cut_h")))
+    cuts = cut_lineage(at.join(ranks, "_c").select(F.col("_c").alias(label_col), "_cut_h",
+                                                   F.slice("_ties", F.lit(1), (F.col("k") - F.col("_below")).cast("int")).alias("_taken")))
+    flagged = df.join(cuts, label_col, "left")
+    test = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & F.array_contains("_taken", F.col(key_col)))
+    return flagged.withColumn(out_col, F.coalesce(test, F.lit(False))).select(*df.columns, out_col)
+
+
+def class_counts(df: DataFrame, label_col: str) -> dict:
+    """Rows per class; a model of the classes holds as many entries."""
+    return {r[label_col]: int(r["n"]) for r in df.filter(F.col(label_col).isNotNull()).groupBy(label_col)
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def stratified_split_exact(df: DataFrame, key_col: str = ID_COL, label_col: str = TARGET_COL,
                            test_size: float = TEST_SIZE, seed: int = RANDOM_STATE,
                            out_col: str = "is_test") -> DataFrame:
     """R1, exact mode: each class contributes exactly its quota of test rows.
 
-    The rows of a class with the smallest key hashes (ties by key) form its
-    test share.  The per-class cut is an exact order statistic found by
-    histogram refinement -- no sort, no window over a class.
+    Keys may be of any type that has an order; rows without a key or label are
+    never test rows.
     """
-    from .quantiles import kth_smallest
-    spark = df.sparkSession
-    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label_col!r}")
-    quota = class_quotas({r[label_col]: int(r["n"]) for r in rows}, test_size)
-    keyed = df.select(F.col(label_col).alias("_c"), F.col(key_col).alias("_key"),
-                      key_hash32(F.col(key_col), f"#{seed}").alias("_h"))
-    # per-class tables have at most MAX_CLASSES rows: a proven broadcast bound
-    ranks = spark.createDataFrame([(c, 0, q) for c, q in quota.items() if q > 0],
-                                  f"_c {dict(df.dtypes)[label_col]}, rank_id int, k long")
-    cut_h = kth_smallest(keyed, ["_c"], "_h", ranks).select("_c", F.col("value").cast("long").alias("_cut_h"))
-    at_cut = keyed.join(F.broadcast(cut_h), "_c")
-    below = at_cut.groupBy("_c").agg(F.count_if(F.col("_h") < F.col("_cut_h")).alias("_below"))
-    tie_ranks = (ranks.join(below, "_c").select("_c", "rank_id", (F.col("k") - F.col("_below")).alias("k")))
-    ties = at_cut.filter(F.col("_h") == F.col("_cut_h")).select("_c", "_key")
-    cut_key = kth_smallest(ties, ["_c"], "_key", tie_ranks).select("_c", F.col("value").alias("_cut_key"))
-    cuts = cut_h.join(cut_key, "_c")
-    h = key_hash32(F.col(key_col), f"#{seed}")
-    flagged = df.join(F.broadcast(cuts.withColumnRenamed("_c", label_col)), label_col, "left")
-    test = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.col(key_col).cast("double") <= F.col("_cut_key")))
-    return flagged.withColumn(out_col, F.coalesce(test, F.lit(False))).select(*df.columns, out_col)
+    counts = class_counts(df.filter(F.col(key_col).isNotNull()), label_col)
+    if not counts:
+        return df.withColumn(out_col, F.lit(False))
+    return flag_quota(df, key_col, label_col, class_quotas(counts, test_size), f"#{seed}", out_col)
 
 
 def train_test(df: DataFrame, key_col: str = ID_COL, test_size: float = TEST_SIZE,
@@ -101,29 +116,24 @@ def class_balance(df: DataFrame, label_col: str = TARGET_COL, by: list[str] | No
 
 
 def stratified_sample(df: DataFrame, cap: int = COMPARISON_TRAIN_CAP, key_col: str = ID_COL,
-                      seed: int = RANDOM_STATE) -> DataFrame:
-    """At most about ``cap`` rows by the same hash test; no-op when smaller.
+                      seed: int = RANDOM_STATE, label_col: str = TARGET_COL) -> DataFrame:
+    """Exactly ``cap`` rows, each class in proportion; all rows when there are no more.
 
-    The row count is one scalar action; the sample itself is a filter.
+    ``cap`` is the documented bound on the rows the comparison models learn from.
     """
-    n = df.count()
-    if n <= cap:
+    counts = class_counts(df.filter(F.col(key_col).isNotNull()), label_col)
+    if sum(counts.values()) <= cap:
         return df
-    keep = int(BUCKETS * cap // n)
-    return df.filter(key_hash32(F.col(key_col), f"#sample{seed}") % BUCKETS < keep)
+    return flag_quota(df, key_col, label_col, share_rows(counts, cap), f"#sample{seed}", "_in").filter("_in").drop("_in")
 
 
 def group_sample(df: DataFrame, group_col: str, groups: list[str], k: int = ATTRIBUTION_GROUP_SAMPLE,
                  key_col: str = ID_COL, seed: int = RANDOM_STATE) -> DataFrame:
     """``min(k, n)`` rows per named group, chosen by key hash.
 
-    Each group is a top-k by (hash, key): every task keeps only its own k
-    best rows and the merge sees ``k * tasks`` rows, whatever the group size.
+    One scan; the rank filter is pushed below the shuffle (window group limit),
+    so each task sends at most k rows of a group.
     """
-    h = key_hash32(F.col(key_col), f"#group{seed}")
-    parts = [df.filter(F.col(group_col) == g).withColumn("_h", h).orderBy("_h", key_col).limit(k)
-             for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_h")
+    order = Window.partitionBy(group_col).orderBy("_h", key_col)
+    return (df.filter(F.col(group_col).isin(*groups)).withColumn("_h", key_hash32(F.col(key_col), f"#group{seed}"))
+            .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_h", "_r"))
