@@ -158,6 +158,12 @@ def decision_metrics_aggs(label_col: str = "Default", pred_col: str = "final_cla
             F.avg(prob_col).alias("_mean_p")]
 
 
+def decision_metrics_sums(label_col: str = "Default", pred_col: str = "final_class",
+                          prob_col: str = "adjusted_probability") -> list[Column]:
+    """The same as parts that add up: counts, and the sum in place of the mean."""
+    return [*decision_metrics_aggs(label_col, pred_col, prob_col)[:-1], F.sum(prob_col).alias("sum_p")]
+
+
 def decision_metrics_rates(df: DataFrame) -> DataFrame:
     return with_rates(df).withColumns({
         "recall": F.round("recall", 6), "precision": F.round("precision", 6),

@@ -39,7 +39,8 @@ def stratified_split(df: DataFrame, key_col: str = ID_COL, test_size: float = TE
     expectation; the flag never depends on other rows.
     """
     cut = int(round(test_size * BUCKETS))
-    return df.withColumn(out_col, split_bucket(F.col(key_col), seed) < cut)
+    # a row without a key is a training row, so none is lost
+    return df.withColumn(out_col, F.coalesce(split_bucket(F.col(key_col), seed) < cut, F.lit(False)))
 
 
 def class_quotas(counts: dict, test_size: float) -> dict:

@@ -17,7 +17,7 @@ from ..functions.features import engineer_features, loan_profile
 from ..functions.text import format_money, format_percent
 from ..operators import checks, encode, metrics, monitor, rules, sampling
 from ..operators.validate import validate_applications
-from ..session import read_table
+from ..session import read_table, table_version
 from ..sources.applications import load_applications
 from . import scoring
 
@@ -28,13 +28,13 @@ FAIRNESS_ATTRIBUTES = ["Education", "EmploymentType", "MaritalStatus", "LoanPurp
 
 # --- shared building blocks ----------------------------------------------------------
 
-# Fitted state (thresholds, feature spec) is computed once per application and data
-# folder, like the artifacts a training run saves; the queries reuse it.
+# Fitted state (thresholds, feature spec) is computed once per application and version
+# of the tables, like the artifacts a training run saves; the queries reuse it.
 _STATE: dict = {}
 
 
 def fitted(spark: SparkSession, sf_dir: str, name: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, table_version(spark, sf_dir, ("orders", "customer")), name)
     if key not in _STATE:
         _STATE[key] = make()
     return _STATE[key]
@@ -119,7 +119,7 @@ def q_application_display(spark, sf_dir):
 
 def q_read_applications_csv(spark, sf_dir):
     """S1 + S4: applications written as CSV to the shared scratch folder and
-    read back with the explicit application schema (nothing inferred)."""
+    read back by column name with the application types (nothing inferred)."""
     from ..sources.applications import APPLICATION_SCHEMA, read_applications
     from .training import scratch_path
     apps = applications(spark, sf_dir)
@@ -127,7 +127,7 @@ def q_read_applications_csv(spark, sf_dir):
             for f in APPLICATION_SCHEMA.fields]
     path = scratch_path(spark, "applications-csv")
     apps.select(*cols).write.mode("overwrite").option("header", "true").csv(path)
-    return read_applications(spark, path, "csv")
+    return read_applications(spark, path, "csv", key_type="long")
 
 
 def q_decision_memo(spark, sf_dir):

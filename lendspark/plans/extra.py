@@ -1,45 +1,45 @@
-"""Queries without a SQL oracle: models, oversampling, attribution, streams,
-snapshot.  The driver checks these by rows only; ``tests/`` holds their
-property tests (class balance, additivity, stream == batch).
-
-Model fitting is the expensive part, so one trained pipeline per
-(session, data folder) is reused by the queries that need it.  Boosting
-rounds and forest size are reduced here (``QUERY_*``); library defaults are
-the reference's full settings.
+"""Model, oversampling, attribution, stream and snapshot queries, at the full model sizes.
+
+Model fitting is the expensive part, so one trained pipeline and one pair of
+comparison models per (session, version of the tables) serve the queries that need
+them.  What SQL can say about their results (split sizes, sums that must agree) is
+in ``model_checks``, which has an oracle.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ID_COL, TARGET_COL
-from ..functions.features import engineer_features
-from ..operators import checks, encode, explain, metrics, models, sampling
-from ..session import ensure_checkpoint_dir, read_table
+from ..operators import checks, explain, metrics, models, monitor, sampling
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table, table_version
 from ..sources import sinks
 from ..sources.applications import load_applications
 from ..streaming import score_stream
 from . import scoring, training
 
-QUERY_GBT_ROUNDS = 12
-QUERY_FOREST_TREES = 24
-QUERY_LOGISTIC_ITER = 100
 BOOSTED_NAME = "Boosted Trees"
 
 _TRAINED: dict = {}
 
 
-def trained(spark: SparkSession, sf_dir: str) -> training.TrainedModel:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    """One fitted object per session and version of the tables it learned from."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_version(spark, sf_dir, ("orders", "customer")), name)
     if key not in _TRAINED:
-        _TRAINED[key] = training.train_pipeline(load_applications(spark, sf_dir), max_iter=QUERY_GBT_ROUNDS)
+        _TRAINED[key] = make()
     return _TRAINED[key]
 
 
+def trained(spark: SparkSession, sf_dir: str) -> training.TrainedModel:
+    return _once(spark, sf_dir, "boosted", lambda: training.train_pipeline(load_applications(spark, sf_dir), calibrate_on="test"))
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -54,33 +54,48 @@ def q_smote_oversample(spark, sf_dir):
     return trained(spark, sf_dir).balanced.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _comparison_inputs(spark, sf_dir):
-    data = training.prepare_training(load_applications(spark, sf_dir))
-    sample = sampling.stratified_sample(data.train)
-    return data, sample
+@dataclass
+class Comparison:
+    """Test rows and training sample of the comparison models, and the models."""
+
+    names: list[str]
+    sample: DataFrame
+    test: DataFrame
+    logistic: object
+    forest: object
+
+
+def compared(spark: SparkSession, sf_dir: str) -> Comparison:
+    def make() -> Comparison:
+        data = training.prepare_training(load_applications(spark, sf_dir))
+        sample = cut_lineage(sampling.stratified_sample(data.train).select(ID_COL, TARGET_COL, "x"))
+        test = cut_lineage(data.test.select(ID_COL, TARGET_COL, "x"))
+        return Comparison(data.spec.names, sample, test, models.train_logistic(sample, x_col="x"),
+                          models.train_forest(sample, x_col="x"))
+    return _once(spark, sf_dir, "compared", make)
 
 
 def q_train_logistic(spark, sf_dir):
-    data, sample = _comparison_inputs(spark, sf_dir)
-    lr = models.train_logistic(sample, data.spec.names, max_iter=QUERY_LOGISTIC_ITER)
-    return models.score_probability(lr, data.test.select(ID_COL, TARGET_COL, "x"), x_col="x").drop("x")
+    c = compared(spark, sf_dir)
+    return models.score_probability(c.logistic, c.test, x_col="x").drop("x")
 
 
 def q_train_forest(spark, sf_dir):
-    data, sample = _comparison_inputs(spark, sf_dir)
-    rf = models.train_forest(sample, data.spec.names, num_trees=QUERY_FOREST_TREES)
-    return models.score_probability(rf, data.test.select(ID_COL, TARGET_COL, "x"), x_col="x").drop("x")
+    c = compared(spark, sf_dir)
+    return models.score_probability(c.forest, c.test, x_col="x").drop("x")
 
 
 def boosted_row(tm: training.TrainedModel) -> DataFrame:
     return models.model_metrics_row(tm.test_scored, BOOSTED_NAME, tm.threshold, models.BOOSTED_NOTE)
 
 
+def _comparison(spark, sf_dir):
+    c = compared(spark, sf_dir)
+    return models.compare(c.logistic, c.forest, c.sample, c.test, boosted_row(trained(spark, sf_dir)), x_col="x")
+
+
 def q_model_comparison(spark, sf_dir):
-    tm = trained(spark, sf_dir)
-    data, sample = _comparison_inputs(spark, sf_dir)
-    return models.model_comparison(sample, data.test, data.spec.names, boosted_row(tm),
-                                   forest_trees=QUERY_FOREST_TREES, logistic_iter=QUERY_LOGISTIC_ITER)
+    return _comparison(spark, sf_dir)
 
 
 def _errors_attributed(spark, sf_dir):
@@ -98,15 +113,15 @@ def q_contribution_summary(spark, sf_dir):
 def q_linear_contribution_summary(spark, sf_dir):
     """X1 (a): contributions ``coef * (x - mean)`` of the class-balanced logistic
     model, per error group of the boosted model's test predictions."""
-    tm = trained(spark, sf_dir)
-    data, sample = _comparison_inputs(spark, sf_dir)
-    lr = models.train_logistic(sample, data.spec.names, max_iter=QUERY_LOGISTIC_ITER)
-    coef = [float(c) for c in lr.coefficients]
+    tm, c = trained(spark, sf_dir), compared(spark, sf_dir)
     err = training.error_frame(tm).filter(F.col("ErrorType").isin("False_Positive", "False_Negative"))
-    with_x = err.select("ErrorType", *[F.col("x")[i].alias(n) for i, n in enumerate(data.spec.names)])
-    # scaled features have mean 0 on the training split, so the baseline is 0
-    contrib = explain.linear_contributions(with_x, data.spec.names, coef)
-    return explain.contribution_summary(contrib, data.spec.names, "ErrorType")
+    return explain.contribution_summary(_linear_parts(err, c, ["ErrorType"]), c.names, "ErrorType")
+
+
+def _linear_parts(rows: DataFrame, c: Comparison, keep: list[str]) -> DataFrame:
+    """Rows with the logistic model's contributions; scaled features have mean 0 on the training split."""
+    with_x = rows.select(*keep, *[F.col("x")[i].alias(n) for i, n in enumerate(c.names)])
+    return explain.linear_contributions(with_x, c.names, [float(v) for v in c.logistic.coefficients])
 
 
 def q_top_risk_signals(spark, sf_dir):
@@ -119,11 +134,7 @@ def q_top_risk_signals(spark, sf_dir):
 def q_score_with_model(spark, sf_dir):
     """D4 with the trained model in the loop: C5 -> M4 -> D2 -> M5 for every valid application."""
     tm = trained(spark, sf_dir)
-    apps = load_applications(spark, sf_dir).drop("model_probability")
-    eng = engineer_features(apps)
-    prepared = eng.withColumn("x", encode.feature_array(eng, tm.spec))
-    with_p = models.score_probability(tm.model, prepared, x_col="x").drop("x")
-    return scoring.score_applications(with_p, tm.threshold).drop("rule_audit")
+    return scoring.score_with_model(load_applications(spark, sf_dir), tm.model, tm.spec, tm.threshold).drop("rule_audit")
 
 
 def q_stream_score(spark, sf_dir):
@@ -147,20 +158,83 @@ def q_periodic_metrics_stream(spark, sf_dir):
     return score_stream.read_periodic(spark, out)
 
 
+def batch_windows(spark: SparkSession, sf_dir: str, threshold: float, window: str = "90 days") -> DataFrame:
+    """The stream monitor's windows from the whole table at once."""
+    scored = scoring.score_applications(load_applications(spark, sf_dir), threshold, keep=[TARGET_COL, "application_ts"])
+    total = (scored.groupBy(F.window(F.col("application_ts").cast("timestamp"), window).alias("w"))
+             .agg(*monitor.decision_metrics_aggs(TARGET_COL)))
+    return monitor.decision_metrics_rates(total.select(
+        F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), F.date_format("w.end", "yyyy-MM-dd").alias("window_end"),
+        *[c for c in total.columns if c != "w"]))
+
+
 def q_validation_snapshot(spark, sf_dir):
     tm = trained(spark, sf_dir)
     err = training.error_frame(tm)
     m = metrics.binary_metrics(err, TARGET_COL, "PredictedLabel", "model_probability")
-    data, sample = _comparison_inputs(spark, sf_dir)
-    comp = models.model_comparison(sample, data.test, data.spec.names, boosted_row(tm),
-                                   forest_trees=QUERY_FOREST_TREES, logistic_iter=QUERY_LOGISTIC_ITER)
-    scen = checks.scenario_check(spark)
-    snap = sinks.validation_snapshot(m, tm.threshold, comp, m, scen)
+    scen = checks.scenario_check(spark, tm.threshold, training.scenario_rows(spark, tm))
+    snap = sinks.validation_snapshot(m, tm.threshold, _comparison(spark, sf_dir), m, scen)
     path = _scratch(spark, "snapshot")
     sinks.write_snapshot(snap, path)
     return sinks.read_snapshot(spark, path)
 
 
+def q_model_checks(spark, sf_dir):
+    """(query, check, value): figures of the model queries that must come out as SQL says.
+
+    Row counts come from the split; counts of rows that break an identity must be 0.
+    """
+    tm, c = trained(spark, sf_dir), compared(spark, sf_dir)
+    out = []
+
+    def add(query: str, check: str, frame: DataFrame, value) -> None:
+        out.append(frame.agg(value.cast("long").alias("value")).select(F.lit(query).alias("query"), F.lit(check).alias("check"), "value"))
+
+    p, y = F.col("model_probability"), F.col(TARGET_COL)
+    odd = F.count_if(~p.between(0.0, 1.0) | p.isNull())
+    for name, scored in (("train_gbt", tm.test_scored), ("train_logistic", q_train_logistic(spark, sf_dir)),
+                         ("train_forest", q_train_forest(spark, sf_dir))):
+        add(name, "test_rows", scored, F.count(F.lit(1)))
+        add(name, "test_rows_default", scored, F.sum(y))
+        add(name, "improbable_rows", scored, odd)
+    # T2's pick against a brute-force sweep over the model's own scores
+    grid = spark.range(100, 901).select(F.col("id").alias("step"), (F.col("id") / 1000.0).alias("t"))
+    steps = tm.test_scored.select(TARGET_COL, "model_probability", F.explode(F.sequence(F.lit(100), F.lit(900))).alias("step"))
+    hit = p >= F.col("step") / 1000.0
+    sweep = steps.groupBy("step").agg(F.count_if((y == 1) & hit).alias("tp"), F.count_if((y == 0) & hit).alias("fp"), F.sum(y).alias("pos"))
+    best = sweep.agg(F.min_by("step", F.struct(F.abs(F.col("tp") / F.col("pos") - F.lit(float(training.TARGET_RECALL))),
+                                               -F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)),
+                                               F.col("step"))).alias("s"))
+    add("train_gbt", "threshold_steps_off", best, F.max(F.abs(F.col("s") - F.lit(round(tm.threshold * 1000)))))
+    add("train_gbt", "trees", grid.limit(1), F.lit(tm.model.getNumTrees) + F.max("step") * 0)
+    add("train_forest", "trees", grid.limit(1), F.lit(c.forest.getNumTrees) + F.max("step") * 0)
+    err = training.error_frame(tm)
+    add("validation_snapshot", "confusion_total", metrics.binary_metrics(err, TARGET_COL, "PredictedLabel", "model_probability"),
+        F.max(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
+    # base + contributions is the margin the probability comes from, for every row
+    att = training.attribution(spark, tm, err)
+    margin = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    off = F.count_if(F.abs(explain.sigmoid2(margin) - p) > 1e-6)
+    for name in ("contribution_summary", "top_risk_signals"):
+        add(name, "margin_off_rows", att, off)
+    add("contribution_summary", "attributed_rows", att, F.count(F.lit(1)))
+    linear = _linear_parts(models.score_probability(c.logistic, c.test, x_col="x"), c, ["model_probability"])
+    z = F.lit(float(c.logistic.intercept)) + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+    add("linear_contribution_summary", "margin_off_rows", linear, F.count_if(F.abs(1.0 / (1.0 + F.exp(-z)) - p) > 1e-6))
+    add("score_with_model", "scored_rows", q_score_with_model(spark, sf_dir), F.count(F.lit(1)))
+    add("model_comparison", "models", q_model_comparison(spark, sf_dir), F.count_if(F.col("accuracy").between(0.0, 1.0)))
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows
+
+
+def q_calibration_split(spark, sf_dir):
+    """Rows and defaults of the three splits: training, calibration, test."""
+    flagged = training.three_splits(load_applications(spark, sf_dir))
+    return flagged.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET_COL).cast("long").alias("n_default"))
+
+
 EXTRA_QUERIES = {
     "train_gbt": q_train_gbt,
     "smote_oversample": q_smote_oversample,
@@ -174,4 +248,6 @@ EXTRA_QUERIES = {
     "stream_score": q_stream_score,
     "periodic_metrics_stream": q_periodic_metrics_stream,
     "validation_snapshot": q_validation_snapshot,
+    "model_checks": q_model_checks,
+    "calibration_split": q_calibration_split,
 }

@@ -501,4 +501,25 @@ SELECT attribute, value, n, n_default, n_approvable, tp, fp, fn, tn, {_rates()[2
         f"FROM apps" for c, vals in domains.items())
     q["domain_report"] = f"""WITH {APPS}, d AS ({dom_rows})
 SELECT column_name, n_rows, n_null, n_unknown, n_null + n_unknown AS n_encoded_as_baseline FROM d"""
+    q["calibration_split"] = f"""WITH {APPS}, s AS (
+SELECT "Default", CASE WHEN {SPLIT_EXPR} THEN 'test'
+  WHEN ('0x' || substr(md5(CAST("LoanID" AS VARCHAR) || '#calibration42'), 1, 8))::BIGINT % 10000 < 1000 THEN 'calibration'
+  ELSE 'train' END AS split FROM apps)
+SELECT split, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM("Default") AS BIGINT) AS n_default FROM s GROUP BY split"""
+    q["model_checks"] = f"""WITH {APPS}, {ENG}, {VALID}, t AS (
+SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM("Default") AS BIGINT) AS d FROM apps WHERE {SPLIT_EXPR}),
+v AS (SELECT CAST(COUNT(*) AS BIGINT) AS n FROM valid)
+SELECT q AS query, c AS "check", CAST(x AS BIGINT) AS value FROM (
+  SELECT q, unnest(['test_rows', 'test_rows_default', 'improbable_rows']) AS c, unnest([t.n, t.d, 0]) AS x
+  FROM t, (SELECT unnest(['train_gbt', 'train_logistic', 'train_forest']) AS q) AS m
+  UNION ALL SELECT 'train_gbt', 'threshold_steps_off', 0
+  UNION ALL SELECT 'train_gbt', 'trees', 220
+  UNION ALL SELECT 'train_forest', 'trees', 160
+  UNION ALL SELECT 'validation_snapshot', 'confusion_total', t.n FROM t
+  UNION ALL SELECT 'contribution_summary', 'margin_off_rows', 0
+  UNION ALL SELECT 'top_risk_signals', 'margin_off_rows', 0
+  UNION ALL SELECT 'contribution_summary', 'attributed_rows', t.n FROM t
+  UNION ALL SELECT 'linear_contribution_summary', 'margin_off_rows', 0
+  UNION ALL SELECT 'score_with_model', 'scored_rows', v.n FROM v
+  UNION ALL SELECT 'model_comparison', 'models', 3) AS x"""
     return q

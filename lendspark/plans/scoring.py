@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..constants import BUSINESS_RULE_VERSION, ID_COL
 from ..functions.features import engineer_features
 from ..functions.text import decision_label
+from ..operators.encode import FeatureSpec, feature_array
 from ..operators.metrics import classify
+from ..operators.models import score_probability
 from ..operators.rules import applied_rule_ids, apply_rules, fired_count, rule_audit_column
 from ..operators.validate import validate_applications
 
@@ -32,6 +34,13 @@ def rule_adjusted(df: DataFrame, prob_col: str = "model_probability") -> DataFra
     return apply_rules(eng, "model_probability", "adjusted_probability")
 
 
+def model_adjusted(df: DataFrame, model, spec: FeatureSpec) -> DataFrame:
+    """Features, once for both the model and the rules: C5 -> M4 -> D2."""
+    eng = engineer_features(df.drop("model_probability"))
+    prepared = eng.withColumn("_x", feature_array(eng, spec))
+    return apply_rules(score_probability(model, prepared, x_col="_x").drop("_x"), "model_probability", "adjusted_probability")
+
+
 def decide(ruled: DataFrame, threshold: float, keep: list[str] | None = None) -> DataFrame:
     """Turn a rule-adjusted frame into the scored record."""
     t = float(threshold)
@@ -63,6 +72,13 @@ def score_applications(apps: DataFrame, threshold: float, prob_col: str = "model
     return decide(rule_adjusted(valid, prob_col), threshold, keep)
 
 
+def score_with_model(apps: DataFrame, model, spec: FeatureSpec, threshold: float,
+                     keep: list[str] | None = None) -> DataFrame:
+    """D4 with the model in the loop: V1 -> C5 -> M4 -> D2 -> M5 for the valid rows."""
+    valid = validate_applications(apps).filter("is_valid").drop("violations", "is_valid")
+    return decide(model_adjusted(valid, model, spec), threshold, keep)
+
+
 def quarantine(apps: DataFrame) -> DataFrame:
     """Rows refused by validation, with their violation codes."""
     return validate_applications(apps).filter("NOT is_valid").select(ID_COL, "violations")

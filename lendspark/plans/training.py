@@ -2,7 +2,8 @@
 
 A: applications -> features -> one-hot (categories from the whole table)
    -> hash split -> scaler fitted on train -> SMOTE on train -> boosted
-   trees -> probabilities on test -> recall-targeted threshold -> metrics
+   trees -> recall-targeted threshold on the calibration split (or, as the
+   reference does, on the test split) -> probabilities on test -> metrics
    -> saved model, spec and threshold.
 C: the same split is a filter, so the test frame is rebuilt exactly; it is
    scored, labelled TP/TN/FP/FN, summarised per group and attributed.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..constants import GBT_PARAMS, ID_COL, RANDOM_STATE, TARGET_COL, TARGET_RECALL
 from ..functions.features import engineer_features
-from ..operators import encode, explain, metrics, models, sampling, smote
+from ..operators import checks, encode, explain, metrics, models, sampling, smote
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 
@@ -29,6 +30,7 @@ class TrainingData:
     spec: encode.FeatureSpec
     train: DataFrame          # LoanID, Default, scaled features, x (array<double>)
     test: DataFrame
+    calibration: DataFrame | None = None
 
 
 @dataclass
@@ -40,24 +42,41 @@ class TrainedModel:
     balanced: DataFrame
 
 
-def prepare_training(apps: DataFrame, seed: int = RANDOM_STATE) -> TrainingData:
+CALIBRATION_SHARE = 0.1      # of the rows that are not test rows
+
+
+def three_splits(df: DataFrame, seed: int = RANDOM_STATE, share: float = CALIBRATION_SHARE) -> DataFrame:
+    """Adds ``split``: test (R1), calibration or train, each a pure function of the row key."""
+    own = sampling.key_hash32(F.col(ID_COL), f"#calibration{seed}") % sampling.BUCKETS < int(round(share * sampling.BUCKETS))
+    return sampling.stratified_split(df, seed=seed).withColumn(
+        "split", F.when(F.col("is_test"), "test").when(own, "calibration").otherwise("train")).drop("is_test")
+
+
+def prepare_training(apps: DataFrame, seed: int = RANDOM_STATE, calibrate_on: str = "test") -> TrainingData:
+    """Scaled splits; with ``calibrate_on="calibration"`` a third split is kept out of training."""
+    if calibrate_on not in ("calibration", "test"):
+        raise ValueError(f"calibrate_on must be 'calibration' or 'test', not {calibrate_on!r}")
     eng = engineer_features(apps)
     spec = encode.learn_spec(eng)
-    flagged = sampling.stratified_split(eng, seed=seed)
-    train_raw, test_raw = flagged.filter("NOT is_test"), flagged.filter("is_test")
-    spec = encode.fit_scaler(encode.onehot(train_raw, spec), spec)
+    flagged = three_splits(eng, seed, CALIBRATION_SHARE if calibrate_on == "calibration" else 0.0)
+    parts = {name: flagged.filter(F.col("split") == name).drop("split") for name in ("train", "calibration", "test")}
+    spec = encode.fit_scaler(encode.onehot(parts["train"], spec), spec)
     names = spec.names
 
     def prep(df: DataFrame) -> DataFrame:
         sc = encode.scale(encode.onehot(df, spec, keep=[ID_COL, TARGET_COL]), spec, keep=[ID_COL, TARGET_COL])
         return sc.withColumn("x", F.array(*[F.col(f"`{n}`") for n in names]))
 
-    return TrainingData(spec, prep(train_raw), prep(test_raw))
+    return TrainingData(spec, prep(parts["train"]), prep(parts["test"]),
+                        prep(parts["calibration"]) if calibrate_on == "calibration" else None)
 
 
 def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"], seed: int = RANDOM_STATE,
-                   target_recall: float = TARGET_RECALL, oversample: bool = True) -> TrainedModel:
-    data = prepare_training(apps, seed)
+                   target_recall: float = TARGET_RECALL, oversample: bool = True,
+                   calibrate_on: str = "calibration") -> TrainedModel:
+    """A.  ``calibrate_on``: the split the threshold is picked on, ``calibration`` (rows that
+    neither training nor the metrics see) or ``test`` (the reference's behaviour)."""
+    data = prepare_training(apps, seed, calibrate_on)
     # SMOTE and the model read the scaled training set several times: materialise it once
     train = cut_lineage(data.train.select(ID_COL, TARGET_COL, "x"))
     balanced = smote.smote_oversample(train, ID_COL, "x", TARGET_COL, seed=seed) if oversample else \
@@ -65,12 +84,23 @@ def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"],
     balanced = cut_lineage(balanced.select("key", "x", "label", *([c for c in ("is_synthetic",)
                                                                     if c in balanced.columns])))
     model = models.train_gbt(balanced, max_iter=max_iter, label_col="label", seed=seed, x_col="x")
-    test_scored = models.score_probability(model, data.test.select(ID_COL, TARGET_COL, "x"), x_col="x")
-    test_scored = cut_lineage(test_scored)
-    t = metrics.pick_threshold(test_scored, TARGET_COL, "model_probability", target_recall)
+
+    def scored(df: DataFrame) -> DataFrame:
+        return models.score_probability(model, df.select(ID_COL, TARGET_COL, "x"), x_col="x")
+
+    test_scored = cut_lineage(scored(data.test))
+    held = test_scored if data.calibration is None else scored(data.calibration)
+    t = metrics.pick_threshold(held, TARGET_COL, "model_probability", target_recall)
     return TrainedModel(data.spec, model, t, test_scored, balanced)
 
 
+def scenario_rows(spark: SparkSession, trained: TrainedModel) -> DataFrame:
+    """The golden applications with the trained model's probability."""
+    rows = engineer_features(checks.scenario_frame(spark, pinned_scores=False))
+    scored = models.score_probability(trained.model, rows.withColumn("x", encode.feature_array(rows, trained.spec)), x_col="x")
+    return scored.drop("x", "DTIRatio", "Age_Income_Interaction")
+
+
 def save_artifacts(spark: SparkSession, trained: TrainedModel, path: str) -> None:
     """S3: model, spec and threshold side by side."""
     trained.model.write().overwrite().save(os.path.join(path, "model"))

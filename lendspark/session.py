@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Sides we are willing to broadcast must be proven below this size.
-DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def build_session(master: str | None = None, app_name: str = "lendspark",
@@ -58,10 +56,10 @@ def tune_session(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; invent one only if unset.
+    """Use the cluster's shared ``spark.checkpoint.dir``; invent one only where all is one machine.
 
-    A cluster names a shared, fault-tolerant folder there.  Only local runs
-    (tests, the bench) fall back to a fresh temporary folder.
+    A cluster names a shared, fault-tolerant folder there.  Only a local master
+    (tests, the bench) falls back to a fresh temporary folder, which goes with the process.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,7 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
         configured = tempfile.mkdtemp(prefix="lendspark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return configured
 
@@ -80,30 +81,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_size_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of a plan, or None if it cannot tell."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - depends on JVM internals being reachable
-        return None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only when the plan's size estimate proves it small.
-
-    Otherwise the side is returned unchanged and Spark (with AQE) chooses a
-    shuffle join, switching to broadcast at run time if it turns out small.
-    """
-    size = estimated_size_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def table_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple[int, ...]:
+    """When each table was last written (its folder or file), so that what was learned from an older one is not used."""
+    found = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append(int(status.getModificationTime()))
+    return tuple(found)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CATEGORICAL_COLUMNS, TARGET_COL
+from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
 from ..session import read_table, tune_session
 
 APPLICATION_SCHEMA = T.StructType([
@@ -113,17 +113,40 @@ def load_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applications_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
 
 
-def read_applications(spark: SparkSession, path: str, fmt: str = "csv",
-                      schema: T.StructType | None = None, header: bool = True) -> DataFrame:
-    """Read an application file with an explicit schema (never inferred).
+REQUIRED_COLUMNS = [f.name for f in APPLICATION_SCHEMA.fields if f.name not in (ID_COL, "DTIRatio", TARGET_COL)]
 
-    Malformed fields become NULL (PERMISSIVE) and are caught later by
-    validation; ``LoanID`` is kept as the row key but is never a feature.
+
+def read_applications(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
+                      header: bool = True, key_type: str = "string") -> DataFrame:
+    """Read an application file with typed columns (never inferred).
+
+    Columns are found by name, in any order; further columns are ignored, a
+    missing required one is an error, and optional ones (id, ratio, target) that
+    are missing become NULL.  Fields that do not parse become NULL and are caught
+    later by validation.  The id may be of any type (``key_type``) or absent; a row
+    without one gets a hash of its fields, so that no row is lost in the splits.  It is
+    a row key and never a feature.  Files without a header are read by position.
     """
-    reader = spark.read.schema(schema or APPLICATION_SCHEMA)
-    if fmt == "csv":
-        return reader.option("header", str(header).lower()).option("mode", "PERMISSIVE").csv(path)
-    return reader.format(fmt).load(path)
+    schema = schema or APPLICATION_SCHEMA
+    if fmt == "csv" and not header:
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        raw = spark.read.schema(text).option("mode", "PERMISSIVE").csv(path)
+    elif fmt == "csv":
+        # a file whose header differs from the first one's is refused
+        raw = spark.read.option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(path)
+    else:
+        raw = spark.read.format(fmt).load(path)
+    missing = [c for c in REQUIRED_COLUMNS if c in schema.names and c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns in {path}: {', '.join(missing)}")
+    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+             for f in schema.fields if f.name != ID_COL]
+    if ID_COL not in schema.names:
+        return raw.select(*typed)
+    fields = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    own = F.concat(F.lit("row-"), F.hex(fields)) if key_type == "string" else fields
+    given = F.col(ID_COL).try_cast(key_type) if ID_COL in raw.columns else F.lit(None).cast(key_type)
+    return raw.select(F.coalesce(given, own.cast(key_type)).alias(ID_COL), *typed)
 
 
 def require_target(df: DataFrame, target: str = TARGET_COL) -> DataFrame:

@@ -7,12 +7,13 @@ quarantine sink; each epoch writes into its own ``epoch=<id>`` folder with
 overwrite, so a replayed epoch after a failure rewrites the same files
 (idempotent, effectively exactly-once).
 
-The periodic monitor is a windowed aggregate with a watermark on the
-application time (the watermark bounds the state kept per window).  It runs in
-update mode: every epoch writes the windows it changed, with their running
-totals, into ``epoch=<id>`` (overwrite, so a replay is idempotent), and the
-reader takes the latest epoch of each window.  Windows the watermark has not
-closed yet are therefore visible too, so the output covers every window.
+With a model and its spec the batch is scored by the model first, like the
+decision job from saved artifacts; without, it brings ``model_probability``.
+
+The periodic monitor needs no watermark and no state store either: every epoch
+writes the counts and sums of its own rows per window into ``epoch=<id>``
+(overwrite, so a replay is idempotent), and the reader adds them up.  So no row
+is late, in whatever order and in however many files the rows arrive.
 """
 
 from __future__ import annotations
@@ -24,41 +25,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ID_COL, TARGET_COL
-from ..operators.monitor import decision_metrics_aggs, decision_metrics_rates
+from ..operators.encode import FeatureSpec
+from ..operators.monitor import decision_metrics_rates, decision_metrics_sums
 from ..operators.validate import validate_applications
-from ..plans.scoring import decide, rule_adjusted
+from ..plans.scoring import decide, model_adjusted, rule_adjusted
+from ..session import table_path
 from ..sources.applications import applications_from_orders
 
 
-def order_stream(spark: SparkSession, source_dir: str, file_glob: str = "orders.parquet",
-                 max_files_per_trigger: int = 1) -> DataFrame:
-    """Orders arriving as Parquet files in ``source_dir``."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+def order_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 8) -> DataFrame:
+    """Orders arriving as Parquet files: ``path`` is a table folder, or one file of a table."""
+    schema = spark.read.parquet(path).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("recursiveFileLookup", "true").parquet(path))
 
 
-def application_stream(spark: SparkSession, source_dir: str, customer: DataFrame) -> DataFrame:
+def application_stream(spark: SparkSession, source_dir: str, customer: DataFrame, table: str = "orders",
+                       max_files_per_trigger: int = 8) -> DataFrame:
     """Stream of applications; the customer key set is a static side (stream-static semi join)."""
-    return applications_from_orders(order_stream(spark, source_dir), customer)
+    return applications_from_orders(order_stream(spark, table_path(source_dir, table), max_files_per_trigger), customer)
 
 
-def score_batch(batch: DataFrame, threshold: float, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def score_batch(batch: DataFrame, threshold: float, keep: list[str] | None = None, model=None,
+                spec: FeatureSpec | None = None) -> tuple[DataFrame, DataFrame]:
     checked = validate_applications(batch)
     valid = checked.filter("is_valid").drop("violations", "is_valid")
-    scored = decide(rule_adjusted(valid), threshold, keep)
+    ruled = rule_adjusted(valid) if model is None else model_adjusted(valid, model, spec)
+    scored = decide(ruled, threshold, keep)
     rejected = checked.filter("NOT is_valid").select(ID_COL, "violations")
     return scored, rejected
 
 
 def start_score_stream(apps: DataFrame, threshold: float, out_dir: str, checkpoint_dir: str,
-                       keep: list[str] | None = None, available_now: bool = True):
+                       keep: list[str] | None = None, available_now: bool = True, model=None,
+                       spec: FeatureSpec | None = None):
     """Score every arriving application; returns the running query."""
     scored_dir, quarantine_dir = os.path.join(out_dir, "scored"), os.path.join(out_dir, "quarantine")
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # two outputs, one read of the batch
-        scored, rejected = score_batch(batch, threshold, keep)
+        scored, rejected = score_batch(batch, threshold, keep, model, spec)
         scored.write.mode("overwrite").parquet(os.path.join(scored_dir, f"epoch={epoch_id}"))
         rejected.write.mode("overwrite").parquet(os.path.join(quarantine_dir, f"epoch={epoch_id}"))
         batch.unpersist()
@@ -69,30 +75,25 @@ def start_score_stream(apps: DataFrame, threshold: float, out_dir: str, checkpoi
 
 
 def start_periodic_stream(apps: DataFrame, threshold: float, out_dir: str, checkpoint_dir: str,
-                          window: str = "90 days", watermark: str = "30 days", available_now: bool = True):
+                          window: str = "90 days", available_now: bool = True):
     """N6 (stream): decision metrics per tumbling window of application time."""
-    checked = validate_applications(apps)
-    valid = checked.filter("is_valid").drop("violations", "is_valid")
-    scored = decide(rule_adjusted(valid), threshold, keep=[TARGET_COL, "application_ts"])
-    ts = F.col("application_ts").cast("timestamp")
-    agg = (scored.withColumn("event_time", ts).withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", window).alias("w"))
-           .agg(*decision_metrics_aggs(TARGET_COL)))
-
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}"))
+        scored, _ = score_batch(batch, threshold, [TARGET_COL, "application_ts"])
+        part = (scored.withColumn("event_time", F.col("application_ts").cast("timestamp"))
+                .groupBy(F.window("event_time", window).alias("w")).agg(*decision_metrics_sums(TARGET_COL)))
+        part.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}"))
 
-    writer = (agg.writeStream.outputMode("update").foreachBatch(sink)
-              .option("checkpointLocation", checkpoint_dir))
+    writer = apps.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
 def read_periodic(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest running totals of every window (one small aggregate over the window keys)."""
-    raw = spark.read.parquet(out_dir)
-    values = [c for c in raw.columns if c not in ("w", "epoch")]
-    latest = (raw.groupBy("w").agg(F.max_by(F.struct(*values), "epoch").alias("r"))
-              .select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"),
-                      F.date_format("w.end", "yyyy-MM-dd").alias("window_end"), "r.*"))
-    return decision_metrics_rates(latest)
+    """Totals of every window over all epochs (one small aggregate over the window keys)."""
+    parts = spark.read.parquet(out_dir)
+    values = [c for c in parts.columns if c not in ("w", "epoch")]
+    total = parts.groupBy("w").agg(*[F.sum(c).alias(c) for c in values])
+    total = total.select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"),
+                         F.date_format("w.end", "yyyy-MM-dd").alias("window_end"),
+                         *[c for c in values if c != "sum_p"], (F.col("sum_p") / F.col("n")).alias("_mean_p"))
+    return decision_metrics_rates(total)

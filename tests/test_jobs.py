@@ -26,3 +26,24 @@ def test_reference_flows_write_their_outputs(spark, tmp_path):
     from lendspark.plans.training import load_artifacts
     model, spec, t = load_artifacts(spark, os.path.join(out, "artifacts"))
     assert spec.names == tm.spec.names and t == tm.threshold
+    scored = jobs.run_scoring(spark, apps, os.path.join(out, "artifacts"), str(tmp_path / "scored"))
+    from lendspark.plans.scoring import score_with_model
+    direct = score_with_model(apps, tm.model, tm.spec, tm.threshold)
+    assert scored.count() == direct.count() and scored.exceptAll(direct.select(*scored.columns)).isEmpty()
+    rejected = spark.read.parquet(str(tmp_path / "scored" / "quarantine")).count()
+    assert rejected + scored.count() == apps.count()
+    run = spark.read.json(os.path.join(out, "analysis", "error_analysis_summary")).first()
+    assert run["decision_threshold"] == tm.threshold and sum(r["Count"] for r in run["error_counts"]) == n_test
+    import json
+    assert "gamma" not in json.loads(payload["optimized_params"])
+
+
+def test_threshold_is_not_picked_on_test_rows(spark):
+    from lendspark.operators import sampling
+    from lendspark.plans import training
+    apps = load_applications(spark, SF)
+    data = training.prepare_training(apps, calibrate_on="calibration")
+    keys = {n: {r[0] for r in getattr(data, n).select("LoanID").collect()} for n in ("train", "calibration", "test")}
+    assert sum(map(len, keys.values())) == apps.count() == len(set.union(*keys.values()))
+    assert 0.05 < len(keys["calibration"]) / (len(keys["train"]) + len(keys["calibration"])) < 0.15
+    assert keys["test"] == {r[0] for r in sampling.stratified_split(apps).filter("is_test").select("LoanID").collect()}

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from lendspark.operators.metrics import pick_threshold
 from lendspark.plans.catalog import scored_table
 from lendspark.session import ensure_checkpoint_dir, read_table
@@ -38,3 +40,25 @@ def test_periodic_stream_restart_is_idempotent(spark, tmp_path):
     second = sorted(map(tuple, score_stream.read_periodic(spark, out).collect()))
     assert first and first == second
     assert sum(r[2] for r in first) == scored_table(spark, SF).count()      # column 2 is n
+
+
+@pytest.mark.parametrize("files,seed", [(4, 1), (10, 2)])
+def test_many_files_in_any_order_give_the_batch_totals(spark, tmp_path, files, seed):
+    import shutil
+
+    from lendspark.plans.extra import batch_windows
+    src = tmp_path / "sf"
+    src.mkdir()
+    orders = read_table(spark, SF, "orders")
+    orders.repartitionByRange(files, "o_orderkey").write.parquet(str(src / "orders.parquet"))
+    shutil.copy(os.path.join(SF, "customer.parquet"), src / "customer.parquet")
+    t = pick_threshold(load_applications(spark, SF))
+    stream = score_stream.application_stream(spark, str(src), read_table(spark, SF, "customer"), max_files_per_trigger=seed)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    score_stream.start_periodic_stream(stream, t, out, ckpt).awaitTermination()
+    got = sorted(map(tuple, score_stream.read_periodic(spark, out).collect()))
+    want = sorted(map(tuple, batch_windows(spark, SF, t).collect()))
+    assert [r[:9] for r in got] == [r[:9] for r in want] and len(got) == 28
+    scored, ckpt = str(tmp_path / "scored"), str(tmp_path / "ckpt2")
+    score_stream.start_score_stream(stream, t, scored, ckpt).awaitTermination()
+    assert spark.read.parquet(os.path.join(scored, "scored")).count() == scored_table(spark, SF).count()
