@@ -8,10 +8,12 @@ documents meet in a table when a pair of half keys agrees, which for similarity
 
 Steps: documents with equal shingle sets collapse to one representative; half
 keys that nobody else has are dropped, and table keys are formed of the rest;
-in a bucket documents are compared with a centre, not with one another, in
-rounds with changing centres, as long as the bucket holds documents of different
-components; what star rounds leave apart is compared pair by pair across
-components.  Every link is confirmed on the full shingle sets of both texts.
+in a bucket documents are compared with a centre, not with one another: the
+one that meets most others in its buckets, which in a family of copies is the one
+closest to the original.  Documents that still share a bucket with another
+component are joined exactly across components on the rarest shingles of their
+sets, with the positional bound of set joins, so a document with many shingles of
+its own meets few.  Every link is confirmed on the full shingle sets of both texts.
 
 Defined results: texts without words have no shingles and link with nothing; a
 null id links with nothing and its component is null; rows with one doc_id are
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendspark.llm import textkernel as K
@@ -36,7 +38,7 @@ SHINGLE = 5
 PERCENT = 80
 HALVES = 10
 PER_HALF = 2
-STAR_ROUNDS = 4                 # rounds against centres before what is left is compared pair by pair
+STAR_ROUNDS = 2                 # rounds against centres before what is left is joined across components
 
 _ODD = K.mix64(np.arange(1, 2 * HALVES * PER_HALF + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = K.mix64(np.arange(101, 2 * HALVES * PER_HALF + 101, dtype=np.uint64))
@@ -173,48 +175,95 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _linked(keys: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the representatives that link with another."""
-    sizes = reps.select("rep", F.col("n"))
-    keys = stage(keys.join(sizes, "rep"))
+    crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    keys = stage(keys.join(crowd, "key").join(reps.select("rep", "n"), "rep"))
+    # how many others a representative meets in its buckets
+    met_by = keys.groupBy("rep").agg(F.sum("c").alias("pop"))
+    keys = stage(keys.drop("c").join(met_by, "rep"))
     labels, tested = None, None
-    for r in range(STAR_ROUNDS + 1):
-        here = keys.withColumn("comp", F.col("rep")) if labels is None else (
-            keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-        order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-        live = (here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.min(F.struct(order.alias("o"), "rep", "comp", "n")).alias("c"))
-                .where("lo < hi").select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb"), F.col("c.n").alias("nb")))
-        if r < STAR_ROUNDS:
-            # each representative is compared with the centre it meets most often
-            met = (here.join(live, "key").where("comp <> cb")
-                   .select(F.col("rep").alias("a"), "b", "n", "nb"))
-        else:
-            left = here.join(live.select("key"), "key")
-            other = left.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            met = (left.join(other, "key").where("rep > b AND comp <> cb").select(F.col("rep").alias("a"), "b", "n", "nb"))
-        # sizes too far apart cannot have the similarity
-        met = (met.where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-               .groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")))
+    for r in range(STAR_ROUNDS):
+        here = _labelled(keys, labels)
+        rank = F.struct("pop", (-F.col("rep")).alias("o")) if r == 0 else F.struct(F.xxhash64("rep", F.lit(r)).alias("o"))
+        live = _live(here, F.max_by(F.struct("rep", "comp", "n"), rank).alias("c"))
+        live = live.select("key", F.col("c.rep").alias("b"), F.col("c.comp").alias("cb"), F.col("c.n").alias("nb"))
+        # each representative is compared with the centre it meets most often; sizes too far apart cannot do
+        met = (here.join(live, "key").where(F.col("comp") != F.col("cb"))
+               .where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+               .groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("times")))
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
-        if r < STAR_ROUNDS:
-            met = met.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
-        pairs = stage(met.select("a", "b"))
+        pairs = stage(met.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")))
         if pairs.isEmpty():
-            if r < STAR_ROUNDS:
-                continue
             break
-        links = stage(similar(pairs, texts, k, percent))
+        labels = _merge(labels, stage(similar(pairs, texts, k, percent)))
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.union(both)
-        if not links.isEmpty():
-            old = links if labels is None else links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            labels = stage(components(old))
+    here = _labelled(keys, labels)
+    left = stage(here.join(_live(here).select("key"), "key", "left_semi").select("rep", "comp").distinct())
+    if not left.isEmpty():
+        pairs = _across(left, texts, k, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        labels = _merge(labels, stage(similar(stage(pairs), texts, k, percent)))
     if labels is None:
         return reps.where("false").select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     return labels
 
 
+def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return keys.withColumn("comp", F.col("rep"))
+    return (keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+            .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+
+
+def _live(here: DataFrame, *more) -> DataFrame:
+    """The keys that hold several components."""
+    return here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *more).where("lo < hi")
+
+
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    if links.isEmpty():
+        return labels
+    old = None if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stage(components(links if old is None else links.union(old)))
+
+
+def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that may have the similarity: an exact prefix-filtered set join.
+
+    Shingles are ordered by how many of these documents hold them.  If two sets
+    share o shingles and the first one shared stands at places i and j of them,
+    o is at most min(n_a - i, n_b - j), places counted from 0.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in K.blocks(batch):
+                h, bounds = shingle_sets(data, offsets, k)
+                n = np.diff(bounds)
+                at = pa.array(np.repeat(np.arange(lo, hi), n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep").take(at), batch.column("comp").take(at), pa.array(np.repeat(n, n)),
+                     pa.array(h.view(np.int64))], ["rep", "comp", "n", "s"])
+
+    sets = texts.join(left, "rep").select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, n long, s long")
+    sets = stage(sets)
+    known = sets.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a shingle that only one document holds comes first in its order and matches nothing: only its number counts
+    shared = sets.join(known, "s")
+    own = shared.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("m"))
+    # o >= percent / 100 * n for any partner, so a set with too many shingles of its own has none
+    own = own.where(100 * F.col("m") >= percent * F.col("n"))
+    place = Window.partitionBy("rep", "n").orderBy("df", "s")
+    prefix = (shared.join(own, ["rep", "n"]).withColumn("i", F.col("n") - F.col("m") + F.row_number().over(place) - 1)
+              .where(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")).select("s", "rep", "comp", "n", "i"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    share = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    fits = (100 + percent) * share >= percent * (F.col("x.n") + F.col("y.n"))
+    return (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & fits)
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document stays: one of each component, columns unchanged.
 
