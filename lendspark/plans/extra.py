@@ -223,12 +223,39 @@ def q_model_checks(spark, sf_dir):
     add("linear_contribution_summary", "margin_off_rows", linear, F.count_if(F.abs(1.0 / (1.0 + F.exp(-z)) - p) > 1e-6))
     add("score_with_model", "scored_rows", q_score_with_model(spark, sf_dir), F.count(F.lit(1)))
     add("model_comparison", "models", q_model_comparison(spark, sf_dir), F.count_if(F.col("accuracy").between(0.0, 1.0)))
+    off_segment, uneven = _oversampling_faults(tm.balanced)
+    add("smote_oversample", "off_segment_rows", off_segment, F.count_if("off"))
+    add("smote_oversample", "uneven_sources", uneven, F.count_if(~F.col("n").isin(F.col("least"), F.col("least") + 1)))
     rows = out[0]
     for o in out[1:]:
         rows = rows.unionByName(o)
     return rows
 
 
+def _oversampling_faults(balanced: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Synthetic rows with ``off``: not between their source and neighbour; sources with ``n`` rows each and ``least``."""
+    made = balanced.filter("is_synthetic")
+    own = balanced.filter("NOT is_synthetic").select("key", F.col("x").alias("v"))
+    ends = (made.join(own.select(F.col("key").alias("source_key"), F.col("v").alias("a")), "source_key", "left")
+            .join(own.select(F.col("key").alias("neighbour_key"), F.col("v").alias("b")), "neighbour_key", "left"))
+
+    def total(v):
+        return F.aggregate(v, F.lit(0.0), lambda acc, d: acc + d)
+
+    step = F.zip_with("b", "a", lambda b, a: b - a)
+    moved = F.zip_with("x", "a", lambda x, a: x - a)
+    ends = ends.select("x", "a", step.alias("step"), moved.alias("moved"))
+    length = total(F.transform("step", lambda d: d * d))
+    u = F.when(length > 0, total(F.zip_with("moved", "step", lambda m, d: m * d)) / length).otherwise(0.0)
+    ends = ends.withColumn("u", u)
+    gap = F.zip_with("moved", F.transform("step", lambda d: d * F.col("u")), lambda m, d: F.abs(m - d))
+    fits = F.col("u").between(-1e-9, 1.0 + 1e-9) & (F.array_max(gap) <= 1e-9)
+    off = ends.select((~F.coalesce(fits, F.lit(False))).alias("off"))
+    n_sources = balanced.filter("NOT is_synthetic").groupBy("label").count().agg(F.min("count")).first()[0]
+    uneven = made.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).withColumn("least", F.lit(made.count() // max(1, n_sources)))
+    return off, uneven
+
+
 def q_calibration_split(spark, sf_dir):
     """Rows and defaults of the three splits: training, calibration, test."""
     flagged = training.three_splits(load_applications(spark, sf_dir))

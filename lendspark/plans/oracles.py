@@ -521,5 +521,7 @@ SELECT q AS query, c AS "check", CAST(x AS BIGINT) AS value FROM (
   UNION ALL SELECT 'contribution_summary', 'attributed_rows', t.n FROM t
   UNION ALL SELECT 'linear_contribution_summary', 'margin_off_rows', 0
   UNION ALL SELECT 'score_with_model', 'scored_rows', v.n FROM v
+  UNION ALL SELECT 'smote_oversample', 'off_segment_rows', 0
+  UNION ALL SELECT 'smote_oversample', 'uneven_sources', 0
   UNION ALL SELECT 'model_comparison', 'models', 3) AS x"""
     return q

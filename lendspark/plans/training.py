@@ -81,8 +81,8 @@ def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"],
     train = cut_lineage(data.train.select(ID_COL, TARGET_COL, "x"))
     balanced = smote.smote_oversample(train, ID_COL, "x", TARGET_COL, seed=seed) if oversample else \
         train.select(F.col(ID_COL).alias("key"), "x", F.col(TARGET_COL).alias("label"))
-    balanced = cut_lineage(balanced.select("key", "x", "label", *([c for c in ("is_synthetic",)
-                                                                    if c in balanced.columns])))
+    balanced = cut_lineage(balanced.select("key", "x", "label", *[c for c in ("is_synthetic", "source_key", "neighbour_key")
+                                                                   if c in balanced.columns]))
     model = models.train_gbt(balanced, max_iter=max_iter, label_col="label", seed=seed, x_col="x")
 
     def scored(df: DataFrame) -> DataFrame:
