@@ -71,6 +71,9 @@ def _checks(df: DataFrame) -> list[tuple[str, Column]]:
             if dtype not in INTEGRAL_TYPES:
                 broken = broken & ~F.isnan(value)
             checks.append((f"{name}:{_OP_NAME[op]}_{b}", broken))
+    # optional and always recomputed, but what is sent must be a number
+    if "DTIRatio" in df.columns and dict(df.dtypes)["DTIRatio"] not in INTEGRAL_TYPES + FLOAT_TYPES:
+        checks.append(("DTIRatio:type", F.col("DTIRatio").isNotNull() & _numeric_value(df, "DTIRatio").isNull()))
     for name in CATEGORICAL_COLUMNS:
         checks.append((f"{name}:required", F.col(name).isNull() if name in df.columns else F.lit(True)))
     return checks

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
 from ..functions.features import engineer_features, loan_profile
-from ..functions.text import format_money, format_percent
+from ..functions.text import format_currency, format_money, format_percent
 from ..operators import checks, encode, metrics, monitor, rules, sampling
 from ..operators.validate import validate_applications
 from ..session import read_table, table_version
-from ..sources.applications import load_applications
+from ..sources.applications import load_applications, load_raw_applications
 from . import scoring
 
 DRIFT_FEATURES = ["Income", "LoanAmount", "CreditScore", "InterestRate", "DTIRatio", "model_probability"]
@@ -327,6 +327,40 @@ def q_domain_report(spark, sf_dir):
     return monitor.domain_report(applications(spark, sf_dir), CATEGORICAL_COLUMNS)
 
 
+# --- careless input: bad values in every field ----------------------------------------
+
+def q_raw_validate(spark, sf_dir):
+    v = validate_applications(load_raw_applications(spark, sf_dir))
+    return v.select(ID_COL, "is_valid", F.concat_ws(",", "violations").alias("violations"))
+
+
+def q_raw_violations(spark, sf_dir):
+    """How often each violation code occurs."""
+    v = validate_applications(load_raw_applications(spark, sf_dir))
+    return v.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_raw_features(spark, sf_dir):
+    """F1 on missing, unparsable and NaN inputs, and the currency form of the amounts."""
+    eng = engineer_features(load_raw_applications(spark, sf_dir))
+    # adding 0.0 turns the -0.0 of a coerced field times a negative amount into 0.0
+    return eng.select(ID_COL, (F.round("DTIRatio", 9) + F.lit(0.0)).alias("DTIRatio"),
+                      (F.round("Age_Income_Interaction", 6) + F.lit(0.0)).alias("Age_Income_Interaction"),
+                      format_currency(F.col("LoanAmount")).alias("loan_text"))
+
+
+def q_raw_domain_report(spark, sf_dir):
+    return monitor.domain_report(load_raw_applications(spark, sf_dir), CATEGORICAL_COLUMNS)
+
+
+def q_raw_onehot(spark, sf_dir):
+    """Categories learned on clean rows, applied to rows with unseen and missing ones."""
+    spec = learned_spec(spark, sf_dir)
+    enc = encode.onehot(engineer_features(load_raw_applications(spark, sf_dir)), spec)
+    words = [n for n in spec.names if n not in spec.numeric]
+    return enc.select(ID_COL, *[F.col(f"`{n}`") for n in words])
+
+
 SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "applications": q_applications,
     "engineer_features": q_engineer_features,
@@ -365,5 +399,10 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "periodic_metrics": q_periodic_metrics,
     "group_error_rates": q_group_error_rates,
     "domain_report": q_domain_report,
+    "raw_validate": q_raw_validate,
+    "raw_violations": q_raw_violations,
+    "raw_features": q_raw_features,
+    "raw_domain_report": q_raw_domain_report,
+    "raw_onehot": q_raw_onehot,
 }
 

@@ -524,4 +524,80 @@ SELECT q AS query, c AS "check", CAST(x AS BIGINT) AS value FROM (
   UNION ALL SELECT 'smote_oversample', 'off_segment_rows', 0
   UNION ALL SELECT 'smote_oversample', 'uneven_sources', 0
   UNION ALL SELECT 'model_comparison', 'models', 3) AS x"""
+    q |= _raw_oracles(domains)
     return q
+
+
+def _raw_apps() -> str:
+    def text(name: str, offset: int, good: str, low: str) -> str:
+        return (f"CASE (k + {offset}) % 43 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN '20.5' WHEN 3 THEN '{low}' "
+                f"ELSE CAST({good} AS VARCHAR) END AS {_q(name)}")
+
+    def amount(name: str, offset: int, good: str, low: str) -> str:
+        return (f"CASE (k + {offset}) % 47 WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST({low} AS DOUBLE) "
+                f"ELSE CAST({good} AS DOUBLE) END AS {_q(name)}")
+
+    def word(name: str, offset: int, good: str) -> str:
+        return f"CASE (k + {offset}) % 53 WHEN 0 THEN NULL WHEN 1 THEN 'Unseen' ELSE {good} END AS {_q(name)}"
+
+    def yes(cond: str) -> str:
+        return f"CASE WHEN {cond} THEN 'Yes' ELSE 'No' END"
+
+    return "raw AS (SELECT k AS \"LoanID\", " + ", ".join([
+        text("Age", 0, "18 + k % 50", "17"), amount("Income", 0, "bal * 12", "0"), amount("LoanAmount", 5, "total", "-total"),
+        text("CreditScore", 5, "300 + k % 550", "299"), text("MonthsEmployed", 10, "k % 120", "-1"),
+        text("NumCreditLines", 15, "k % 5", "-2"), amount("InterestRate", 10, "k % 25", "-1"),
+        text("LoanTerm", 20, "12 * (1 + k % 5)", "0"),
+        "CASE k % 59 WHEN 0 THEN 'high' WHEN 1 THEN NULL ELSE '0.4' END AS \"DTIRatio\"",
+        word("Education", 0, "CASE k % 4 WHEN 0 THEN 'High School' WHEN 1 THEN 'Bachelor''s' WHEN 2 THEN 'Master''s' ELSE 'PhD' END"),
+        word("EmploymentType", 5, "CASE k % 4 WHEN 0 THEN 'Full-time' WHEN 1 THEN 'Part-time' WHEN 2 THEN 'Self-employed' ELSE 'Unemployed' END"),
+        word("MaritalStatus", 10, "CASE k % 3 WHEN 0 THEN 'Divorced' WHEN 1 THEN 'Married' ELSE 'Single' END"),
+        word("HasMortgage", 15, yes("k % 2 = 0")), word("HasDependents", 20, yes("k % 3 = 0")),
+        word("LoanPurpose", 25, "CASE seg WHEN 'AUTOMOBILE' THEN 'Auto' WHEN 'MACHINERY' THEN 'Business' WHEN 'HOUSEHOLD' THEN 'Education' "
+                                "WHEN 'FURNITURE' THEN 'Furniture' ELSE 'Home' END"),
+        word("HasCoSigner", 30, yes("k % 5 = 0")),
+    ]) + (" FROM (SELECT o_orderkey AS k, o_totalprice AS total, c_acctbal AS bal, c_mktsegment AS seg "
+          "FROM orders JOIN customer ON o_custkey = c_custkey) AS j)")
+
+
+def _raw_oracles(domains: dict[str, list[str]]) -> dict[str, str]:
+    raw = _raw_apps()
+    codes = []
+    for name, kind, bound in (("Age", "text", ("ge_18", "< 18")), ("Income", "amount", ("gt_0", "<= 0")),
+                              ("LoanAmount", "amount", ("ge_0", "< 0")), ("CreditScore", "text", None),
+                              ("MonthsEmployed", "text", ("ge_0", "< 0")), ("NumCreditLines", "text", ("ge_0", "< 0")),
+                              ("InterestRate", "amount", ("ge_0", "< 0")), ("LoanTerm", "text", ("gt_0", "<= 0"))):
+        c, v = _q(name), f"TRY_CAST({_q(name)} AS DOUBLE)"
+        codes.append(f"CASE WHEN {c} IS NULL THEN '{name}:required' END")
+        odd = f"isnan({c})" if kind == "amount" else f"({v} IS NULL OR {v} <> floor({v}))"
+        codes.append(f"CASE WHEN {c} IS NOT NULL AND {odd} THEN '{name}:type' END")
+        if bound:
+            codes.append(f"CASE WHEN {v} {bound[1]} AND NOT isnan({v}) THEN '{name}:{bound[0]}' END")
+    codes.append("CASE WHEN \"DTIRatio\" IS NOT NULL AND TRY_CAST(\"DTIRatio\" AS DOUBLE) IS NULL THEN 'DTIRatio:type' END")
+    codes += [f"CASE WHEN {_q(c)} IS NULL THEN '{c}:required' END" for c in domains_order()]
+    checked = f"{raw}, v AS (SELECT \"LoanID\", concat_ws(',', {', '.join(codes)}) AS violations FROM raw)"
+    num = {c: f"coalesce(CASE WHEN isnan(TRY_CAST({_q(c)} AS DOUBLE)) THEN NULL ELSE TRY_CAST({_q(c)} AS DOUBLE) END, 0)"
+           for c in ("Age", "Income", "LoanAmount")}
+    whole = "CAST(sign(\"LoanAmount\") * floor(abs(\"LoanAmount\") + 0.5) AS BIGINT)"
+    q = {
+        "raw_validate": f"WITH {checked} SELECT \"LoanID\", violations = '' AS is_valid, violations FROM v",
+        "raw_violations": f"""WITH {checked} SELECT violation, CAST(COUNT(*) AS BIGINT) AS n
+FROM (SELECT unnest(string_split(violations, ',')) AS violation FROM v WHERE violations <> '') AS u GROUP BY violation""",
+        "raw_features": f"""WITH {raw} SELECT "LoanID",
+  round(CASE WHEN {num['Income']} = 0 THEN 0 ELSE {num['LoanAmount']} / {num['Income']} END, 9) + CAST(0 AS DOUBLE) AS "DTIRatio",
+  round({num['Age']} * {num['Income']}, 6) + CAST(0 AS DOUBLE) AS "Age_Income_Interaction",
+  CASE WHEN "LoanAmount" IS NULL OR isnan("LoanAmount") THEN '-'
+       ELSE (CASE WHEN {whole} < 0 THEN '-$' ELSE '$' END) || replace(format('{{:,}}', abs({whole})), ',', '.') END AS loan_text FROM raw""",
+        "raw_domain_report": f"WITH {raw}, d AS (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST(COUNT(*) AS BIGINT) AS n_rows, {_sum_if(f'{_q(c)} IS NULL')} AS n_null, "
+            f"{_sum_if(f'{_q(c)} IS NOT NULL AND {_q(c)} NOT IN (' + ', '.join(_lit(v) for v in vals) + ')')} AS n_unknown FROM raw"
+            for c, vals in domains.items())
+        + ") SELECT column_name, n_rows, n_null, n_unknown, n_null + n_unknown AS n_encoded_as_baseline FROM d",
+        "raw_onehot": f"WITH {raw} SELECT \"LoanID\", " + ", ".join(
+            f"CAST(CASE WHEN {_q(c)} = {_lit(v)} THEN 1 ELSE 0 END AS INTEGER) AS {_q(f'{c}_{v}')}" for c, v in DUMMIES) + " FROM raw",
+    }
+    return q
+
+
+def domains_order() -> list[str]:
+    return ["Education", "EmploymentType", "MaritalStatus", "HasMortgage", "HasDependents", "LoanPurpose", "HasCoSigner"]

@@ -41,6 +41,8 @@ MARITAL_BY_CUST = ["Divorced", "Married", "Single"]
 PURPOSE_BY_PRIORITY = [("1-URGENT", "Auto"), ("2-HIGH", "Business"), ("3-MEDIUM", "Education"),
                        ("4-NOT SPECIFIED", "Home")]
 PURPOSE_OTHER = "Other"
+# furniture is a purpose outside the known domain
+RAW_PURPOSE_BY_SEGMENT = [("AUTOMOBILE", "Auto"), ("MACHINERY", "Business"), ("HOUSEHOLD", "Education"), ("FURNITURE", "Furniture")]
 
 
 def _mulmod(x: Column, factor: int, mod: int) -> Column:
@@ -108,6 +110,59 @@ def applications_from_orders(orders: DataFrame, customer: DataFrame) -> DataFram
     )
 
 
+def raw_applications_from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Applications as a careless source sends them: amounts from order totals and account
+    balances (negative ones too), purposes from market segments, and by key residue
+    missing, unparsable and out-of-range fields and words no model has seen."""
+    o = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    k = F.col("o_orderkey")
+
+    def text(offset: int, good: Column, low: str) -> Column:
+        """An integer field as text: residue 0 missing, 1 no number, 2 a fraction, 3 out of range."""
+        r = (k + offset) % 43
+        return (F.when(r == 0, F.lit(None).cast("string")).when(r == 1, "n/a").when(r == 2, "20.5").when(r == 3, low)
+                .otherwise(good.cast("string")))
+
+    def amount(offset: int, good: Column, low: Column) -> Column:
+        r = (k + offset) % 47
+        return F.when(r == 0, F.lit(None).cast("double")).when(r == 1, F.lit(float("nan"))).when(r == 2, low).otherwise(good)
+
+    def word(offset: int, good: Column) -> Column:
+        r = (k + offset) % 53
+        return F.when(r == 0, F.lit(None).cast("string")).when(r == 1, "Unseen").otherwise(good)
+
+    purpose = F.lit("Home")
+    for segment, name in RAW_PURPOSE_BY_SEGMENT:
+        purpose = F.when(F.col("c_mktsegment") == segment, name).otherwise(purpose)
+    total, balance = F.col("o_totalprice"), F.col("c_acctbal")
+    return o.select(
+        k.alias("LoanID"),
+        text(0, F.lit(18) + k % 50, "17").alias("Age"),
+        amount(0, balance * F.lit(12.0), F.lit(0.0)).alias("Income"),
+        amount(5, total, -total).alias("LoanAmount"),
+        text(5, F.lit(300) + k % 550, "299").alias("CreditScore"),
+        text(10, k % 120, "-1").alias("MonthsEmployed"),
+        text(15, k % 5, "-2").alias("NumCreditLines"),
+        amount(10, (k % 25).cast("double"), F.lit(-1.0)).alias("InterestRate"),
+        text(20, F.lit(12) * (F.lit(1) + k % 5), "0").alias("LoanTerm"),
+        F.when(k % 59 == 0, "high").when(k % 59 == 1, F.lit(None).cast("string")).otherwise("0.4").alias("DTIRatio"),
+        word(0, _pick(k % 4, EDUCATION_BY_CUST)).alias("Education"),
+        word(5, _pick(k % 4, EMPLOYMENT_BY_ORDER)).alias("EmploymentType"),
+        word(10, _pick(k % 3, MARITAL_BY_CUST)).alias("MaritalStatus"),
+        word(15, _yes_no(k % 2 == 0)).alias("HasMortgage"),
+        word(20, _yes_no(k % 3 == 0)).alias("HasDependents"),
+        word(25, purpose).alias("LoanPurpose"),
+        word(30, _yes_no(k % 5 == 0)).alias("HasCoSigner"),
+    )
+
+
+def load_raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune_session(spark)
+    return raw_applications_from_orders(
+        read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
+        read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+
+
 def load_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune_session(spark)
     return applications_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
