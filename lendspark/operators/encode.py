@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORICAL_COLUMNS, DEFAULT_THRESHOLD, ENGINEERED_COLUMNS, ID_COL, NUMERIC_COLUMNS
 
-# A categorical column with more distinct values than this is refused:
-# every category becomes a feature column, so the spec must stay small.
-MAX_CATEGORIES_PER_COLUMN = 1000
-
 
 @dataclass(frozen=True)
 class FeatureSpec:
@@ -52,28 +48,27 @@ class FeatureSpec:
                            tuple(d.get("means", ())), tuple(d.get("stds", ())))
 
 
-def category_values(df: DataFrame, columns: list[str], max_per_column: int = MAX_CATEGORIES_PER_COLUMN
-                    ) -> dict[str, list[str]]:
-    """Distinct non-null values per column, via one distributed group-by.
+def category_values(df: DataFrame, columns: list[str], max_per_column: int | None = None) -> dict[str, list[str]]:
+    """Distinct non-null values per column, one distributed group-by per column set.
 
-    Only the (column, value) pairs cross to the driver, and never more than
-    ``max_per_column`` per column: a larger domain raises instead.
+    Only the (column, value) pairs cross to the driver: as many as the encoded
+    frame has columns.  ``max_per_column`` refuses a column with more values,
+    counted before anything is collected.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         return {}
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                for c in present]))
-    distinct = (df.select(pairs.alias("kv")).select("kv.column", "kv.value")
-                .filter(F.col("value").isNotNull()).groupBy("column", "value").count())
-    bound = max_per_column * len(present)
-    rows = distinct.select("column", "value").limit(bound + 1).collect()
+    # a row per distinct combination first: the explode then sees few rows, whatever the table's size
+    combos = df.select(*[F.col(c).cast("string").alias(c) for c in present]).distinct()
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in present]))
+    distinct = (combos.select(pairs.alias("kv")).select("kv.column", "kv.value")
+                .filter(F.col("value").isNotNull()).distinct())
+    if max_per_column is not None:
+        for r in distinct.groupBy("column").count().filter(F.col("count") > max_per_column).orderBy("column").limit(1).collect():
+            raise ValueError(f"column {r['column']!r} has {r['count']} categories, more than {max_per_column}")
     out: dict[str, list[str]] = {c: [] for c in present}
-    for r in rows:
+    for r in distinct.collect():
         out[r["column"]].append(r["value"])
-    for c, vals in out.items():
-        if len(vals) > max_per_column or len(rows) > bound:
-            raise ValueError(f"column {c!r} has more than {max_per_column} categories")
     return {c: sorted(v) for c, v in out.items()}
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
+from ..constants import CATEGORICAL_COLUMNS, COSIGNER_WORDS, ID_COL, MONTHS_SUFFIX, TARGET_COL
 from ..functions.features import engineer_features, loan_profile
 from ..functions.text import format_currency, format_money, format_percent
 from ..operators import checks, encode, metrics, monitor, rules, sampling
@@ -112,8 +112,8 @@ def q_application_display(spark, sf_dir):
         format_money(F.col("Income")).alias("income_text"),
         format_money(F.col("LoanAmount")).alias("loan_text"),
         format_percent(F.col("model_probability") * 100.0).alias("model_score_text"),
-        F.concat(F.col("MonthsEmployed").cast("string"), F.lit(" ay")).alias("months_text"),
-        F.when(F.col("HasCoSigner") == "Yes", "Var").otherwise("Yok").alias("cosigner_text"),
+        F.concat(F.col("MonthsEmployed").cast("string"), F.lit(MONTHS_SUFFIX)).alias("months_text"),
+        F.when(F.col("HasCoSigner") == "Yes", COSIGNER_WORDS[True]).otherwise(COSIGNER_WORDS[False]).alias("cosigner_text"),
     )
 
 

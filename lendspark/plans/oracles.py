@@ -77,6 +77,7 @@ ruled AS (
   FROM valid
 )"""
 
+# --- Fixed values: rule ids, multipliers and directions, stated apart from the library ---
 RULE_IDS = ["strong_credit_score", "low_dti", "stable_full_time_employment", "cosigner_present", "high_dti",
             "weak_credit_score", "unstable_employment"]
 RULE_MULTS = ["0.80", "0.90", "0.90", "0.90", "1.20", "1.15", "1.15"]
@@ -488,6 +489,7 @@ agg AS ({_decision_metrics("attribute, value", "long")})
 SELECT attribute, value, n, n_default, n_approvable, tp, fp, fn, tn, {_rates()[2:]},
   round({_div('fp', 'fp + tn')}, 6) AS false_positive_rate, round({_div('fn', 'fn + tp')}, 6) AS false_negative_rate,
   round({_div('n_approvable', 'n')}, 6) AS approval_rate FROM agg"""
+    # fixed values: the known words of each column
     domains = {
         "Education": ["High School", "Bachelor's", "Master's", "PhD"],
         "EmploymentType": ["Full-time", "Part-time", "Self-employed", "Unemployed"],
