@@ -15,7 +15,9 @@ packed one by one; an empty table gives an empty result.  Only ``doc_id`` and
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,70 +30,56 @@ CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 POOL_TOKENS = 1 << 24
-CACHE_WORDS = 500_000
+# fixed value: how byte-level BPE vocabularies of this kind cut a text into parts
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ROWS_OUT = 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit) of texts, with a bounded cache of words.
+    """Token ids (little-endian unsigned 32-bit) of whole texts, without special tokens.
 
-    Byte-level BPE splits a text before every single space or newline that
-    stands between other characters, so the ids of such a text are those of its
-    parts, end to end.  Texts with other white space are encoded whole.
+    The vocabulary is a tokenizer file.  If it is byte-level BPE whose ids follow
+    its merges, as the default is, tiktoken's encoder is built from that same file:
+    the ids are equal and it takes a fifth of the time.
     """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path(VOCABULARY)
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._cache: dict[str, bytes] = {}
-        self._newline = 4 * len(self._tokenizer.encode("\n", add_special_tokens=False).ids)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        ranks = byte_ranks(path)
+        if ranks:
+            import tiktoken
+            self._encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self._encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        parts, odd = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if len(text.split()) == 1 + text.count(" ") + text.count("\n"):
-                parts.append((i, ("\n" + text.replace("\n", " \n")).split(" ")))
-            else:
-                odd.append(i)
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        cache = self._cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = {w for _, words in parts for w in words if w not in cache}
-        if missing:
-            # a full stop or comma after a letter is split from it, so the word before may be known
-            bare = {w: w[:-1] if len(w) > 2 and w[-1] in ".," and w[-2].isalpha() else w for w in missing}
-            new = [w for w in {*bare.values(), *(w[-1] for w in missing if bare[w] != w)} if w not in cache]
-            ids = self.whole([w if w[0] == "\n" or w in ".," else " " + w for w in new])
-            fresh = dict(zip(new, ids, strict=True))
-            for w, b in bare.items():
-                known = fresh[b] if b in fresh else cache[b]
-                cache[w] = known if b == w else known + self._stop(w[-1])
-        get = cache.__getitem__
-        for i, words in parts:
-            out[i] = b"".join(map(get, words))[self._newline:]
-        return out
-
-    def _stop(self, sign: str) -> bytes:
-        known = self.__dict__.setdefault("_stops", {})
-        if sign not in known:
-            known[sign] = self.whole([sign])[0]
-        return known[sign]
+        return [array("I", self._encode(t)).tobytes() if t else b"" for t in texts]
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings and their ids, if the file is plain byte-level BPE and its ids follow the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = (model.get("type") in (None, "BPE") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+             and before.get("use_regex", True) and not file.get("normalizer") and not model.get("dropout"))
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    vocabulary = model.get("vocab", {})
+    if not plain or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
 
 
 _encoders: dict[str | None, Encoder] = {}
