@@ -61,9 +61,9 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm.unit_dedup import dedup_units
-    spans = F.array_join(F.transform("_removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    spans = F.array_join(F.transform("__removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return (dedup_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-            .select("doc_id", F.size("_removed").cast("long").alias("n_removed"), spans.alias("removed"),
+            .select("doc_id", F.size("__removed").cast("long").alias("n_removed"), spans.alias("removed"),
                     F.coalesce("text", F.lit("")).alias("text")))
 
 

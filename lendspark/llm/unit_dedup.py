@@ -88,9 +88,10 @@ def surplus(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     """(doc_id, h, lines): the first lines of the units to be removed from a document."""
     found = stage(units(docs, unit, min_words))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "line")
-    # minima are taken in each task before the shuffle, so a very common unit is no large group
-    first = (found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-             .where("n > 1").select("d1", "d2", "first"))
+    # minima are taken in each task before the shuffle, so a very common unit is no large group; written, so
+    # that the join is one of two plain shuffles, whose large partitions Spark splits
+    first = stage(found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
+                  .where("n > 1").select("d1", "d2", "first"))
     return (found.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
             .groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines")))
 
@@ -117,12 +118,12 @@ def _has_word(line: str) -> bool:
 
 
 def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with shortened texts and, in ``_removed``, the offsets of what was removed."""
-    gone = surplus(docs, unit, min_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("lines").alias("_lines"))
-    joined = (docs.withColumn("_key", _text_key())
-              .join(gone, F.col("_key").eqNullSafe(F.col("_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-              .drop("_key", "_id", "_h"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_removed", _REMOVED)])
+    """The rows of ``docs`` with shortened texts and, in ``__removed``, the offsets of what was removed."""
+    gone = surplus(docs, unit, min_words).select(F.col("doc_id").alias("__unit_id"), F.col("h").alias("__unit_h"), F.col("lines").alias("__unit_lines"))
+    joined = (docs.withColumn("__unit_key", _text_key())
+              .join(gone, F.col("__unit_key").eqNullSafe(F.col("__unit_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__unit_id")), "left")
+              .drop("__unit_key", "__unit_id", "__unit_h"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__removed", _REMOVED)])
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def keep_first_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_W
     A document of which nothing but white space is left goes.
     """
     cut_docs = dedup_units(docs, unit, min_words)
-    changed = F.size("_removed") > 0
+    changed = F.size("__removed") > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut_docs = cut_docs.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -130,7 +130,7 @@ def test_repeated_units(make_docs, unit):
     for r in got:
         if (r.doc_id, r.text) == (9005, "another text"):
             continue
-        assert (r.text or "", [(s.start, s.end) for s in r._removed]) == want[r.doc_id]
+        assert (r.text or "", [(s.start, s.end) for s in r["__removed"]]) == want[r.doc_id]
     kept = unit_dedup.keep_first_units(docs, unit)
     assert kept.columns == docs.columns
     rows_kept = kept.collect()
