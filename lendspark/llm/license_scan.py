@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendspark.llm.scratch import stage
+
 MIN_COSINE = 0.6
 CUE = r"(?i)licen[cs]e|copyright|copyleft|spdx|public domain|all rights reserved|\bgpl|\bwarrant"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice|copyright)([._-][a-z0-9.]+)*$"
@@ -78,8 +80,9 @@ def own_licenses(files: DataFrame) -> DataFrame:
     template = _templates(files.sparkSession).join(weights, "word").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = template.groupBy("license").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("template_norm"))
     template = F.broadcast(template.join(norms, "license").select("word", "license", (F.col("weight") / F.col("template_norm")).alias("t")))
-    lines = (files.where(F.col("text").rlike(CUE))
-             .select("key", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.col("s").rlike(CUE)))
+    # few lines hold a cue: written once, so that the texts are searched once
+    lines = stage(files.where(F.col("text").rlike(CUE))
+                  .select("key", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.col("s").rlike(CUE)))
     words = (lines.select("key", "line", F.explode(_words(F.col("s"))).alias("word"))
              .groupBy("key", "line", "word").agg(F.count(F.lit(1)).alias("tf"))
              .join(F.broadcast(weights), "word", "left")
@@ -103,15 +106,14 @@ def scan(files: DataFrame) -> DataFrame:
     """
     files = files.select("key", "path", "text")
     own = own_licenses(files.select("key", "text"))
-    named = files.select("key", "path", directory(F.col("path")).alias("dir"))
-    marked = named.join(own, "key", "left")
+    marked = stage(files.select("key", "path", directory(F.col("path")).alias("dir")).join(own, "key", "left"))
     # at most one licence file speaks for a directory: the one whose path comes first
     given = (marked.where(F.col("license").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE))
              .groupBy("dir").agg(F.min(F.struct("path", "license", "score")).alias("g")))
     given = given.select(F.col("dir").alias("above"), F.col("g.license").alias("l"), F.col("g.score").alias("sc"), F.col("g.path").alias("lp"))
     # every directory once, with those above it; the longest path that has a licence file is the nearest
     parts = F.split("dir", "/")
-    dirs = (named.select("dir").where(F.col("dir").isNotNull()).distinct()
+    dirs = (marked.select("dir").where(F.col("dir").isNotNull()).distinct()
             .select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
                                                  lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above")))
     nearest = (dirs.join(given, "above").groupBy("dir")
