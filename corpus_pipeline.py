@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lendspark.llm import decontaminate as _decontaminate
-from lendspark.llm import minhash, packing, quality_rules, unit_dedup
+from lendspark.llm import minhash, packing, passage_dedup, quality_rules, unit_dedup
 from lendspark.llm.scratch import stage
 from lendspark.session import read_table
 
@@ -28,8 +28,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier place has."""
-    return unit_dedup.keep_first_units(docs)
+    """Documents without lines, and passages within lines, that an earlier place has."""
+    return passage_dedup.keep_first_passages(stage(unit_dedup.keep_first_units(docs)))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

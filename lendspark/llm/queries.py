@@ -67,6 +67,14 @@ def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("text", F.lit("")).alias("text")))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lendspark.llm.passage_dedup import dedup_passages
+    spans = F.array_join(F.transform("__removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return (dedup_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", F.size("__removed").cast("long").alias("n_removed"), spans.alias("removed"),
+                    F.coalesce("text", F.lit("")).alias("text")))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm import quality_fm as Q
     docs = read_table(spark, sf_dir, "documents")
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_unit_dedup": op7_unit_dedup,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_quality_fm": op8_quality_fm,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_quality_rules": op10_quality_rules,

@@ -15,7 +15,7 @@ share an id but not the text are different documents.  Only ``doc_id`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ def digests(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
     return b - a, out[0], out[1]
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
@@ -80,7 +80,7 @@ def units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
                     [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(line[keep]),
                      pa.array(d1[keep].view(np.int64)), pa.array(d2[keep].view(np.int64))], ["doc_id", "h", "line", "d1", "d2"])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("h"), "text")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h"), "text")
             .mapInArrow(run, "doc_id long, h long, line long, d1 long, d2 long"))
 
 
@@ -119,8 +119,13 @@ def _has_word(line: str) -> bool:
 
 def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with shortened texts and, in ``__removed``, the offsets of what was removed."""
-    gone = surplus(docs, unit, min_words).select(F.col("doc_id").alias("__unit_id"), F.col("h").alias("__unit_h"), F.col("lines").alias("__unit_lines"))
-    joined = (docs.withColumn("__unit_key", _text_key())
+    return shortened(docs, surplus(docs, unit, min_words), "lines", lambda text, lines: cut(text, lines, unit))
+
+
+def shortened(docs: DataFrame, gone: DataFrame, column: str, cut_one: Callable[[str, list], tuple[str, list[dict]]]) -> DataFrame:
+    """The rows of ``docs``, those with a row in ``gone`` (doc_id, h and this column) cut, and ``__removed``."""
+    gone = gone.select(F.col("doc_id").alias("__unit_id"), F.col("h").alias("__unit_h"), F.col(column).alias("__unit_lines"))
+    joined = (docs.withColumn("__unit_key", text_key())
               .join(gone, F.col("__unit_key").eqNullSafe(F.col("__unit_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__unit_id")), "left")
               .drop("__unit_key", "__unit_id", "__unit_h"))
     schema = T.StructType([*docs.schema.fields, T.StructField("__removed", _REMOVED)])
@@ -134,7 +139,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
             if len(changed):
                 texts = texts.to_pylist()
                 for i in changed.tolist():
-                    texts[i], removed[i] = cut(texts[i], lines[i].as_py(), unit)
+                    texts[i], removed[i] = cut_one(texts[i], lines[i].as_py())
                 texts = pa.array(texts, pa.string())
             columns = [texts if j == place else batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +153,11 @@ def keep_first_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_W
 
     A document of which nothing but white space is left goes.
     """
-    cut_docs = dedup_units(docs, unit, min_words)
+    return remaining(docs, dedup_units(docs, unit, min_words))
+
+
+def remaining(docs: DataFrame, cut_docs: DataFrame) -> DataFrame:
+    """The cut rows with the columns of ``docs``, without those of which nothing is left."""
     changed = F.size("__removed") > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

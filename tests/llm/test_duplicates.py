@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from conftest_llm import ODD, words
 
-from lendspark.llm import minhash, unit_dedup
+from lendspark.llm import minhash, passage_dedup, unit_dedup
 from lendspark.llm.components import components
 
 
@@ -138,3 +138,42 @@ def test_repeated_units(make_docs, unit):
     assert {9001, 9002, 9003, None} <= {r.doc_id for r in rows_kept}
     assert all(r.n_chars == len(r.text) for r in rows_kept if r.doc_id in (2, 3, 4))
     assert unit_dedup.dedup_units(docs.where("false"), unit).count() == 0
+
+
+def brute_passages(rows, size):
+    seen, out = {}, {}
+    for i, t in sorted(((i, t or "") for i, t in set(rows)), key=lambda x: (x[0] is None, x[0] or 0)):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+[ \t]*", t)]
+        w, gone = re.findall(r"[^\x20\x09-\x0D]+", lower(t)), set()
+        for p in range(len(w) - size + 1):
+            j, q = seen.setdefault(tuple(w[p:p + size]), (i, p))
+            if (j, q) != (i, p):
+                gone |= set(range(max(p, q + size) if j == i else p, p + size))
+        left, at = [], 0
+        for n, (start, end) in enumerate(spans):        # what stands between two words that go goes with them
+            left.append("" if {n - 1, n} <= gone else t[at:start])
+            left.append("" if n in gone else t[start:end])
+            at = end
+        out[i] = ("".join(left) + t[at:], sum(n - 1 not in gone for n in gone))
+    return out
+
+
+def test_passages_inside_lines(make_docs):
+    """A passage planted within longer lines goes, exactly, from all documents but the first."""
+    a, b = words(801, 60), words(802, 50)
+    x = [words(810 + i, 40) for i in range(12)]
+    rows = [(1, f"{x[0]} {a} {x[1]}"), (2, f"{x[2]} {a.upper()}\t {x[3]}"), (3, f"{x[4]} {a[:200]}"), (4, f"{b} é{x[5]} {b}\n{x[6]}"),
+            (5, f"{x[7]}\n{a} {b}"), (6, a.replace(" ", "\n")), (7, "x " * 200 + b), (8, f"{x[8]} {' '.join(b.split()[:49])} {x[9]}"), *ODD,
+            (9005, "another text")]
+    docs = make_docs(rows, extra=True)
+    got = passage_dedup.dedup_passages(docs).collect()
+    assert len(got) == len(rows)
+    want = brute_passages([r for r in rows if r != (9005, "another text")], 50)
+    for r in got:
+        if (r.doc_id, r.text) != (9005, "another text"):
+            assert ((r.text or ""), len(r["__removed"])) == want[r.doc_id]
+    texts = {r.doc_id: r.text for r in got}
+    assert texts[2] == f"{x[2]} {x[3]}" and texts[5] == f"{x[7]}\n" and b.split()[48] in texts[8]
+    kept = passage_dedup.keep_first_passages(docs)
+    assert kept.columns == docs.columns and 6 not in {r.doc_id for r in kept.collect()}
+    assert passage_dedup.dedup_passages(docs.where("false")).count() == 0

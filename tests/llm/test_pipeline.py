@@ -43,3 +43,10 @@ def test_stages(spark, make_docs, tmp_path):
     assert {r.doc_id for r in seen["packing"]} == clean
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or -1, r.piece, bytes(r.ids)) for r in whole) == sorted((r.doc_id or -1, r.piece, bytes(r.ids)) for r in seen["packing"])
+
+
+def test_passages_inside_lines_go(spark, make_docs):
+    passage = words(950, 60)
+    docs = make_docs([(i, f"{words(i + 700, 90)} {passage} {words(i + 800, 90)}") for i in range(5)])
+    left = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert [i for i in sorted(left) if passage in left[i]] == [0] and all(len(left[i].split()) == 180 for i in range(1, 5))
