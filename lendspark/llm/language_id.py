@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendspark.llm.labelled import crc_fold
@@ -157,6 +157,16 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def sampled(rows: DataFrame, per_language: dict[str, int], sample_per_language: int) -> DataFrame:
+    """At most so many rows of each language, those of lowest hash."""
+    order = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(_SCALE))
+    # a hash threshold for each language; then its rows are cut to the bound
+    share = F.create_map(*[F.lit(v) for k in sorted(per_language)
+                           for v in (k, int(_SCALE * min(1.0, 1.1 * sample_per_language / per_language[k])))])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text")))
+    return rows.where(order < share[F.col("lang")]).withColumn("place", place).where(F.col("place") <= sample_per_language).drop("place")
+
+
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model from the documents with text and language outside the held-out fold (crc32 mod 3 = 1)."""
     rows = (docs.select("doc_id", "text", "lang")
@@ -190,12 +200,7 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
     if not languages:
         return empty
 
-    order = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(_SCALE))
-    # a hash threshold for each language; then the ordered limit cuts to the bound
-    share = F.create_map(*[F.lit(v) for k in languages
-                           for v in (k, int(_SCALE * min(1.0, 1.1 * sample_per_language / per_language[k])))])
-    sample = (rows.where(order < share[F.col("lang")]).orderBy(order, "doc_id")
-              .limit(sample_per_language * len(languages)))
+    sample = sampled(rows, per_language, sample_per_language)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

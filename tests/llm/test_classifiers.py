@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,6 +32,14 @@ def test_language_id(corpus):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (9001, 9002, 9003))
 
 
+def test_a_rare_language_keeps_its_sample(make_docs):
+    """Frequent languages take nothing from the bound of a rare one."""
+    n = {**{f"l{k}": 600 for k in range(6)}, "rare": 75}
+    rows = [(i, f"text {i}", lang) for i, lang in enumerate(k for k, c in n.items() for _ in range(c))]
+    got = Counter(r.lang for r in language_id.sampled(make_docs(rows), n, 50).collect())
+    assert got["rare"] >= 48 and max(got.values()) == 50
+
+
 def test_language_id_without_rows(make_docs, spark):
     empty = make_docs([(1, "text", None)]).where("false")
     assert language_id.predict(empty, language_id.train(empty)).count() == 0
