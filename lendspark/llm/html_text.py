@@ -8,7 +8,10 @@ most the largest ratio) are content.  The content region is the smallest element
 that holds nearly all of the content lines, or the page's article or main
 element if that holds most of them, and all lines of the region belong to the
 text but those inside elements that are never article text: menus, headers,
-footers, asides, forms, scripts, styles, adverts, notices, reader comments.
+footers, asides, scripts, styles.  Forms and elements whose names speak of
+adverts, notices, reader comments and the like are left out too, unless one holds
+the page's largest article or main element, or ``MARKED_SHARE`` of its text: then
+it is a wrapper of the page.
 
 Defined results: null and empty pages and pages without text give an empty text;
 broken markup is read as far as the parser gets, unclosed paragraphs end at the
@@ -32,13 +35,14 @@ SIGMA = 2.0
 LAMBDA = 0.5
 REGION_SHARE = 0.9
 ARTICLE_SHARE = 0.4
+MARKED_SHARE = 0.8
 
 # fixed values: element names of the HTML standard
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section "
                    "summary table tbody td tfoot th thead title tr ul option caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe menu nav noscript object "
+NEVER = frozenset("aside audio button canvas datalist dialog embed footer head header iframe menu nav noscript object "
                   "script search select style svg template textarea title video".split())
 HOLDERS = frozenset("article blockquote body details div dl figure html main ol section table tbody td tr ul".split())
 # words in class or id that mark an element as something else than article text
@@ -57,7 +61,7 @@ class _Line:
     __slots__ = ("parts", "tags", "holder")
 
     def __init__(self, holder: int):
-        self.parts: list[str] = []
+        self.parts: list[tuple[int, str]] = []                # innermost marked element (0: none) and text
         self.tags = 0
         self.holder = holder
 
@@ -70,12 +74,17 @@ class Reader(HTMLParser):
         self.lines: list[_Line] = []
         self.parent = [-1]
         self.kind = [""]
-        self.stack: list[tuple[str, int, bool]] = []       # element, holder, never article text
+        self.marked_in = [-1]                               # for each marked element, the one around it
+        self.articles: list[tuple[int, int]] = []           # holder and marked element around each article or main
+        self.stack: list[tuple[str, int, bool, int]] = []   # element, holder, never article text, marked element
         self.current = _Line(0)
 
     def _hidden(self) -> bool:
         return bool(self.stack) and self.stack[-1][2]
 
+    def _mark(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
     def _holder(self) -> int:
         return self.stack[-1][1] if self.stack else 0
 
@@ -99,15 +108,20 @@ class Reader(HTMLParser):
         if tag in VOID:
             self.flush()
             return
-        never = self._hidden() or tag in NEVER or (tag not in ("html", "body", "main", "article") and _marked(attrs)) or _unseen(attrs)
-        holder = self._holder()
+        never = self._hidden() or tag in NEVER or _unseen(attrs)
+        holder, mark, named = self._holder(), self._mark(), _marked(attrs)
+        if tag == "form" or (named and tag not in ("html", "body", "main", "article")):
+            self.marked_in.append(mark)
+            mark = len(self.marked_in) - 1
         if tag in HOLDERS:
             self.parent.append(holder)
             self.kind.append("article" if tag in ("article", "main") or ("role", "main") in attrs else tag)
             holder = len(self.parent) - 1
+            if self.kind[-1] == "article" and not named and not never:
+                self.articles.append((holder, mark))
         if tag in BLOCKS:
             self.flush()
-        self.stack.append((tag, holder, never))
+        self.stack.append((tag, holder, never, mark))
         self.current.holder = holder
 
     def _close_implied(self, tag: str) -> None:
@@ -140,7 +154,7 @@ class Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self._hidden() and (self.current.parts or not data.isspace()):
-            self.current.parts.append(data)
+            self.current.parts.append((self._mark(), data))
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -173,9 +187,13 @@ def blocks_of(html: str) -> list[str]:
         reader.rawdata = reader.rawdata[:left.start()]
     reader.close()
     reader.flush()
-    texts, lines = [], []
+    out = _left_out(reader)
+    texts, lines, tags = [], [], 0
     for line in reader.lines:
-        text = _WHITE.sub(" ", "".join(line.parts)).strip()
+        line.tags += tags
+        parts = [data for mark, data in line.parts if not out[mark]]
+        tags = 0 if parts else line.tags                      # tags without text count for the next line
+        text = _WHITE.sub(" ", "".join(parts)).strip()
         if text:
             texts.append(text)
             lines.append(line)
@@ -197,6 +215,29 @@ def blocks_of(html: str) -> list[str]:
     return [t for t, line in zip(texts, lines, strict=True) if inside[line.holder]]
 
 
+def _left_out(reader: Reader) -> list[bool]:
+    """For each marked element, whether its text is no article text."""
+    n = len(reader.marked_in)
+    mass, held = [0] * n, [0] * len(reader.parent)
+    for line in reader.lines:
+        for mark, data in line.parts:
+            size = len(_WHITE.sub("", data))
+            mass[mark] += size
+            held[line.holder] += size
+    for sums, outer in ((mass, reader.marked_in), (held, reader.parent)):
+        for i in range(len(sums) - 1, 0, -1):                 # an element comes after the one that holds it
+            sums[outer[i]] += sums[i]
+    wraps = [False] * n
+    if reader.articles:
+        at = max(reader.articles, key=lambda a: held[a[0]])[1]
+        while at > 0:
+            wraps[at], at = True, reader.marked_in[at]
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[reader.marked_in[i]] or not (wraps[i] or mass[i] >= MARKED_SHARE * mass[0])
+    return out
+
+
 def _region(reader: Reader, mass: np.ndarray) -> list[int]:
     """The elements whose lines are the main text."""
     articles = [i for i, k in enumerate(reader.kind) if k == "article"]

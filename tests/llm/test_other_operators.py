@@ -208,6 +208,19 @@ def test_pages(spark):
         assert r.text == PAGES[r.page_id][1] and r.n_chars == len(r.text) and r.url == f"u{r.page_id}"
 
 
+@pytest.mark.parametrize("begin, end", [("<div class='layout has-sidebar'>", "</div>"), ("<div class='no-sidebar'>", "</div>"),
+                                        ("<div id='cookie-overlay-page'>", "</div>"), ("<form action='/page'>", "</form>"),
+                                        ("<form><div class='modal'>", "</div></form>")])
+def test_marked_wrappers_of_a_page(begin, end):
+    body = "<p>" + "long text " * 30 + "</p><div class='ad'>buy this</div><p>short</p>"
+    want = ("long text " * 30).strip() + "\n\nshort"
+    assert html_text.extract(f"<body><nav>x</nav>{begin}{body}{end}<div class='comments'><p>I liked it</p></div></body>") == want
+    many = "<div class='comments'>" + "<p>I liked it very much</p>" * 40 + "</div>"
+    for tag in ("article", "main"):
+        assert html_text.extract(f"<body>{begin}<{tag}>{body}</{tag}>{end}{many}</body>") == want
+        assert html_text.extract(f"<body>{begin}<{tag}>{body}</{tag}>{many}{end}</body>") == want
+
+
 def test_pieces_do_not_change_a_page(monkeypatch):
     html = "<div>" + "".join(f"<p>par {i} &amp; more</p><!-- c -->" for i in range(50)) + "</div>"
     whole = html_text.extract(html)
