@@ -114,8 +114,9 @@ def scan(files: DataFrame) -> DataFrame:
     # every directory once, with those above it; the longest path that has a licence file is the nearest
     parts = F.split("dir", "/")
     dirs = (marked.select("dir").where(F.col("dir").isNotNull()).distinct()
-            .select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
-                                                 lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above")))
+            .select("dir", F.explode(F.array_union(F.array(F.lit("")),        # the root, of relative paths too
+                                                   F.transform(F.sequence(F.lit(1), F.size(parts)),
+                                                               lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))).alias("above")))
     nearest = (dirs.join(given, "above").groupBy("dir")
                .agg(F.max_by(F.struct("l", "sc", "lp"), F.length("above")).alias("i")))
     found = marked.join(nearest, "dir", "left")

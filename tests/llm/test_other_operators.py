@@ -253,6 +253,15 @@ def test_licenses(files):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def test_a_license_at_the_top_is_inherited(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "LICENSE", mit), (2, "src/x.py", "code"), (3, "src/a/y.py", "code"), (4, "lib/LICENSE", apache), (5, "lib/a/z.py", "code"),
+            (6, "w.py", "code")]
+    got = {(r.key, r.license, r.license_path) for r in license_scan.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert got == {(1, "MIT", "LICENSE"), (2, "MIT", "LICENSE"), (3, "MIT", "LICENSE"), (4, "Apache-2.0", "lib/LICENSE"),
+                   (5, "Apache-2.0", "lib/LICENSE"), (6, "MIT", "LICENSE")}
+
+
 def test_licenses_use_no_python(files):
     plan = license_scan.scan(files)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
