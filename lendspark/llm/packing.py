@@ -38,7 +38,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit) of whole texts, without special tokens.
+    """Token ids (little-endian unsigned 32-bit) of whole texts; none are added, and an added token in a text is one id.
 
     The vocabulary is a tokenizer file.  If it is byte-level BPE whose ids follow
     its merges, as the default is, tiktoken's encoder is built from that same file:
@@ -53,11 +53,11 @@ class Encoder:
         ranks = byte_ranks(path)
         if ranks:
             import tiktoken
-            self._encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
+            self._encode = lambda text: encoding.encode(text, allowed_special="all", disallowed_special=())
         else:
             from tokenizers import Tokenizer
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self._encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -71,6 +71,10 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     model, before = file["model"], file.get("pre_tokenizer") or {}
     plain = (model.get("type") in (None, "BPE") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
              and before.get("use_regex", True) and not file.get("normalizer") and not model.get("dropout"))
+    added = file.get("added_tokens") or []
+    # added tokens that take blanks or whole words only, or begin like one another, are left to the tokenizer itself
+    plain = plain and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) and not any(
+        s is not t and s["content"].startswith(t["content"]) for s in added for t in added)
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     vocabulary = model.get("vocab", {})
     if not plain or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
@@ -82,6 +86,12 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+
+
 _encoders: dict[str | None, Encoder] = {}
 
 

@@ -102,6 +102,27 @@ def test_packing_round_trip(make_docs):
     assert packing.pack(make_docs(rows).where("false")).count() == 0
 
 
+def test_added_tokens_inside_a_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tok = Tokenizer.from_file(path)
+    added = packing.added_tokens(path)
+    assert added
+    for t in added:
+        for text in (t, f"a {t} b", f"  {t}{t}\n{t[:-1]} {t.upper()} x"):
+            ids = tok.encode(text, add_special_tokens=False).ids
+            assert added[t] in ids and np.frombuffer(packing.Encoder().encode([text])[0], "<u4").tolist() == ids
+
+
+def test_added_tokens_without_byte_ranks(monkeypatch):
+    import public_tokenizers
+    path = public_tokenizers.path(packing.VOCABULARY)
+    fast = packing.Encoder(path).encode(["a <|endoftext|> b"])
+    monkeypatch.setattr(packing, "byte_ranks", lambda path: None)
+    assert packing.Encoder(path).encode(["a <|endoftext|> b"]) == fast
+
+
 def test_each_place_has_the_smallest_sum_of_squares():
     r = np.random.default_rng(5)
     sizes = r.integers(1, 65, 300)
