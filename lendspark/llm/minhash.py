@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +114,13 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             keep = np.zeros(batch.num_rows, dtype=bool)
-            # of rows with one centre (they come together) its set is made once
+            tb = batch.column("tb")
+            same = (b[1:] == b[:-1]) & pc.equal(tb.slice(1), tb.slice(0, max(0, batch.num_rows - 1))).to_numpy(zero_copy_only=False)
+            # of rows with one centre and text (they come together) its set is made once
             start = 0
             while start < batch.num_rows:
                 end = start + 1
-                while end < batch.num_rows and b[end] == b[start]:
+                while end < batch.num_rows and same[end - 1]:
                     end += 1
                 centre = _sets(batch.slice(start, 1), "tb", k)[0]
                 for i, s in enumerate(_sets(batch.slice(start, end - start), "ta", k)):

@@ -75,6 +75,13 @@ def test_an_id_with_two_texts_is_one_document(make_docs):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_a_centre_with_two_texts_is_compared_by_each(spark):
+    a, b = words(1, 50), words(2, 50)
+    pairs = spark.createDataFrame([(1, 2), (3, 2), (4, 2)], "a long, b long")
+    texts = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, words(3, 50))], "rep long, text string")
+    assert {(r.a, r.b) for r in minhash.similar(pairs, texts, 5, 80).collect()} == {(1, 2), (3, 2)}
+
+
 def test_keep_one(make_docs, copies):
     docs = make_docs([*copies, *ODD], extra=True)
     kept = minhash.keep_one(docs, 4, 80)
