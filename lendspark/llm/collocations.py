@@ -43,7 +43,8 @@ SCALE = 2_000_000
 TOP = 2000
 TILE = 1024
 DENSE_SHARE = 64                # a tile is counted densely if it has a pair for every so many of its cells
-CHUNK = 2 << 20                 # ids that are counted together
+CHUNK = 1 << 20                 # ids that are counted together
+ROW = 2048                      # ids of a written row, about: a task takes 10,000 rows at a time
 BLOCK = 1 << 20                 # entries of a vocabulary that a task holds at a time
 
 RESULT = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -130,7 +131,7 @@ class Vocabulary:
 
 
 def encoded(texts: DataFrame, vocabulary) -> DataFrame:
-    """(ids): the texts of a batch as one array of ids, -1 between pieces and for words without an id; written once."""
+    """(ids): texts as ids, -1 between pieces and for words without an id, cut between pieces into rows; written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary.value
         for batch in batches:
@@ -148,7 +149,11 @@ def encoded(texts: DataFrame, vocabulary) -> DataFrame:
                     found.append(np.where(known, ids, _BREAK)[keep])
                     found.append(np.array([_BREAK], dtype=np.int32))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(found)], pa.list_(pa.int32()))], ["ids"])
+                ids = np.concatenate(found)
+                breaks = np.flatnonzero(ids == _BREAK) + 1
+                ends = np.unique(breaks[np.minimum(np.searchsorted(breaks, np.arange(ROW, len(ids) + ROW, ROW)), len(breaks) - 1)])
+                starts = np.concatenate([[0], ends]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(ids))], ["ids"])
 
     return stage(texts.mapInArrow(run, "ids array<int>"))
 
