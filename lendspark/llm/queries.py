@@ -62,7 +62,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lendspark.llm.unit_dedup import dedup_units
     spans = F.array_join(F.transform("__removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return (dedup_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return (dedup_units(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "sentence")
             .select("doc_id", F.size("__removed").cast("long").alias("n_removed"), spans.alias("removed"),
                     F.coalesce("text", F.lit("")).alias("text")))
 
@@ -193,18 +193,25 @@ SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DES
 FROM s JOIN n ON n.lang = s.lang LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase
 WHERE i.longer IS NULL OR 100 * i.longer < 80 * a
 QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) <= 2000""",
-    # lines of at least 13 words: all but the first of a kind go
+    # sentences that an earlier place has, in runs of at least 20 words
     "op7_unit_dedup": r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-w AS (SELECT doc_id, line, pos, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                   '[^\x20\x09-\x0D]+') AS words FROM l),
-r AS (SELECT doc_id, line, pos, len(words) >= 13 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, pos) > 1 AS gone,
-             sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start FROM w)
-SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(line) AS BIGINT), ',' ORDER BY pos) FILTER (gone), '') AS removed,
-       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id""",
+WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(57344) || '\2', 'g'), chr(10))) AS line,
+                  generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(57344) || '\2', 'g'), chr(10)), 1) AS n
+           FROM documents),
+u AS (SELECT doc_id, n, unnest(string_split(line, chr(57344))) AS unit, generate_subscripts(string_split(line, chr(57344)), 1) AS k FROM l),
+p AS (SELECT doc_id, n, k, unit, n - 1 + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY n, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+             regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM u),
+w AS (SELECT doc_id, start, start + length(unit) AS stop, words, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i FROM p WHERE len(words) > 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, i) > 1 AS again FROM w),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM d WHERE again),
+g AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM r GROUP BY doc_id, run HAVING sum(len(words)) >= 20),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM g),
+t AS (SELECT e.doc_id, count(*) AS n, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed,
+             string_agg(substr(text, CAST(z + 1 AS BIGINT), CAST(a - z AS BIGINT)), '' ORDER BY a) || substr(any_value(text), CAST(max(b) + 1 AS BIGINT)) AS text
+      FROM e JOIN documents ON documents.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT documents.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_removed, coalesce(t.removed, '') AS removed,
+       coalesce(t.text, documents.text, '') AS text
+FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id""",
     "op4_license_scan": r"""
 WITH t(license, statement) AS (VALUES
 @TEMPLATES@),

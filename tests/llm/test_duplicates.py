@@ -147,6 +147,54 @@ def test_repeated_units(make_docs, unit):
     assert unit_dedup.dedup_units(docs.where("false"), unit).count() == 0
 
 
+def brute_sentences(rows, least):
+    seen, out = set(), {}
+    for i, t in sorted(((i, t or "") for i, t in set(rows)), key=lambda x: (x[0] is None, x[0] or 0)):
+        parts = [p for line in re.split("(\n)", t) for p in ([line] if line == "\n" else re.split(r"(?<=[.!?])(?=[\x20\x09-\x0D])", line))]
+        units, pos = [], 0
+        for p in parts:
+            w = tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(p)))
+            if w:
+                units.append((pos, pos + len(p), w, w in seen))
+                seen.add(w)
+            pos += len(p)
+        removed, k = [], 0
+        while k < len(units):
+            e = k
+            while e < len(units) and units[e][3]:
+                e += 1
+            if e > k and sum(len(u[2]) for u in units[k:e]) >= least:
+                removed.append((units[k][0], units[e - 1][1]))
+            k = max(e, k + 1)
+        text, at = "", 0
+        for a, b in removed:
+            text, at = text + t[at:a], b
+        out[i] = (text + t[at:], removed)
+    return out
+
+
+def test_repeated_sentences_go_in_runs(make_docs):
+    """A passage of sentences planted inside lines goes from all documents but the first; a short sentence by itself stays."""
+    r = random.Random(9)
+    prose = [". ".join(words(600 + 10 * i + j, r.randint(3, 14)) for j in range(8)) for i in range(14)]
+    passage = f"{words(901, 7)}. {words(902, 9).upper()}! É{words(903, 12)}?\n{words(904, 8)}. {words(905, 20)}."
+    short = f"{words(906, 6)}."
+    rows = [(i, f"{p[:60]} {passage} {p[60:]}" if i % 3 == 0 else f"{p}. {short}  {short} {p[::-1]}") for i, p in enumerate(prose)]
+    rows += [(50, passage), (51, passage.lower().replace("\n", "\n\n \n")), (52, f"{words(905, 20)}. {words(904, 8)}."), (53, "a.b.c . d! ! !? e"),
+             (54, f"x. {words(905, 20)}."), *ODD, (9005, "another text")]
+    docs = make_docs(rows, extra=True)
+    got = unit_dedup.dedup_units(docs, "sentence").collect()
+    assert len(got) == len(rows)
+    want = brute_sentences([x for x in rows if x != (9005, "another text")], unit_dedup.RUN_WORDS)
+    for g in got:
+        if (g.doc_id, g.text) != (9005, "another text"):
+            assert ((g.text or ""), [(s.start, s.end) for s in g["__removed"]]) == want[g.doc_id]
+    assert [i for i in range(14) if want[i][1]] == [3, 6, 9, 12]
+    kept = unit_dedup.keep_first_units(docs, "sentence")
+    assert kept.columns == docs.columns and 51 not in {g.doc_id for g in kept.collect()}
+    assert unit_dedup.dedup_units(docs.where("false"), "sentence").count() == 0
+
+
 def brute_passages(rows, size):
     seen, out = {}, {}
     for i, t in sorted(((i, t or "") for i, t in set(rows)), key=lambda x: (x[0] is None, x[0] or 0)):
