@@ -180,7 +180,7 @@ def test_repeated_sentences_go_in_runs(make_docs):
     passage = f"{words(901, 7)}. {words(902, 9).upper()}! É{words(903, 12)}?\n{words(904, 8)}. {words(905, 20)}."
     short = f"{words(906, 6)}."
     rows = [(i, f"{p[:60]} {passage} {p[60:]}" if i % 3 == 0 else f"{p}. {short}  {short} {p[::-1]}") for i, p in enumerate(prose)]
-    rows += [(50, passage), (51, passage.lower().replace("\n", "\n\n \n")), (52, f"{words(905, 20)}. {words(904, 8)}."), (53, "a.b.c . d! ! !? e"),
+    rows += [(50, passage), (51, lower(passage).replace("\n", "\n\n \n")), (52, f"{words(905, 20)}. {words(904, 8)}."), (53, "a.b.c . d! ! !? e"),
              (54, f"x. {words(905, 20)}."), *ODD, (9005, "another text")]
     docs = make_docs(rows, extra=True)
     got = unit_dedup.dedup_units(docs, "sentence").collect()
