@@ -3,6 +3,12 @@
 Every stage is written as Parquet in the shared folder and read again as the
 next one's documents, so a lost executor costs no more than its own tasks and
 each plan stays small.
+
+Defined results: null, empty and white texts pass the dedup and benchmark stages as they are (the quality rules
+refuse texts of fewer than 20 words); repeated rows and rows that share an id follow the rules of the stage's operator;
+texts of any length are read whole; ties are settled by the smallest doc_id; an empty table gives an empty
+result with the same columns; further columns of the documents pass all stages but the last unchanged,
+whatever their names (but names that begin with ``__``).
 """
 
 from __future__ import annotations
@@ -28,8 +34,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, and passages within lines, that an earlier place has."""
-    return passage_dedup.keep_first_passages(stage(unit_dedup.keep_first_units(docs)))
+    """Documents without runs of sentences that earlier places have, and without what is left of repeated passages.
+
+    Sentences do nearly all of it; a passage of which no sentence is whole goes by its word windows.
+    """
+    return passage_dedup.keep_first_passages(stage(unit_dedup.keep_first_units(docs, "sentence")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
