@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import ID_COL, TARGET_COL
 from ..operators import checks, explain, metrics, models, monitor, sampling
@@ -209,20 +210,23 @@ def q_model_checks(spark, sf_dir):
     add("train_gbt", "trees", grid.limit(1), F.lit(tm.model.getNumTrees) + F.max("step") * 0)
     add("train_forest", "trees", grid.limit(1), F.lit(c.forest.getNumTrees) + F.max("step") * 0)
     err = training.error_frame(tm)
-    add("validation_snapshot", "confusion_total", metrics.binary_metrics(err, TARGET_COL, "PredictedLabel", "model_probability"),
-        F.max(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")))
+    _add_snapshot_checks(spark, sf_dir, add, tm, err)
     # base + contributions is the margin the probability comes from, for every row
     att = training.attribution(spark, tm, err)
     margin = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
-    off = F.count_if(F.abs(explain.sigmoid2(margin) - p) > 1e-6)
-    for name in ("contribution_summary", "top_risk_signals"):
-        add(name, "margin_off_rows", att, off)
+    off = F.count_if(F.abs(explain.sigmoid(margin) - p) > 1e-6)
+    add("contribution_summary", "margin_off_rows", att, off)
+    signals = q_top_risk_signals(spark, sf_dir)
+    add("top_risk_signals", "rows", signals, F.count(F.lit(1)))
+    add("top_risk_signals", "off_rows", _signals_off(signals, att, tm.spec.names), F.count(F.lit(1)))
     add("contribution_summary", "attributed_rows", att, F.count(F.lit(1)))
     linear = _linear_parts(models.score_probability(c.logistic, c.test, x_col="x"), c, ["model_probability"])
     z = F.lit(float(c.logistic.intercept)) + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
     add("linear_contribution_summary", "margin_off_rows", linear, F.count_if(F.abs(1.0 / (1.0 + F.exp(-z)) - p) > 1e-6))
     add("score_with_model", "scored_rows", q_score_with_model(spark, sf_dir), F.count(F.lit(1)))
-    add("model_comparison", "models", q_model_comparison(spark, sf_dir), F.count_if(F.col("accuracy").between(0.0, 1.0)))
+    compared_rows = q_model_comparison(spark, sf_dir)
+    add("model_comparison", "models", compared_rows, F.count(F.lit(1)))
+    add("model_comparison", "off_rows", _comparison_off(spark, sf_dir, compared_rows), F.count(F.lit(1)))
     off_segment, uneven = _oversampling_faults(tm.balanced)
     add("smote_oversample", "off_segment_rows", off_segment, F.count_if("off"))
     add("smote_oversample", "uneven_sources", uneven, F.count_if(~F.col("n").isin(F.col("least"), F.col("least") + 1)))
@@ -232,12 +236,77 @@ def q_model_checks(spark, sf_dir):
     return rows
 
 
+def _plain_metrics(scored: DataFrame, name: str, threshold: float) -> DataFrame:
+    """One row of a model's figures from counts of its test rows, without the operators that the queries use."""
+    p, y = F.col("model_probability") >= F.lit(float(threshold)), F.col(TARGET_COL) == 1
+    counts = scored.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    precision, recall = (F.coalesce(F.try_divide(tp, d), F.lit(0.0)) for d in (tp + fp, tp + fn))
+    return counts.select(F.lit(name).alias("model"), "tp", "fp", "fn", "tn", F.lit(float(threshold)).alias("threshold"),
+                         *[F.round(v, 4).alias(c) for c, v in (
+                             ("accuracy", (tp + tn) / (tp + fp + fn + tn)), ("precision", precision), ("recall", recall),
+                             ("f1", F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))))])
+
+
+def _expected_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tm, c = trained(spark, sf_dir), compared(spark, sf_dir)
+    return (_plain_metrics(tm.test_scored, BOOSTED_NAME, tm.threshold)
+            .unionByName(_plain_metrics(models.score_probability(c.logistic, c.test, x_col="x"), "Logistic Regression", 0.5))
+            .unionByName(_plain_metrics(models.score_probability(c.forest, c.test, x_col="x"), "Random Forest", 0.5)))
+
+
+def _same(a: str, b: str):
+    return F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-9, F.lit(False))
+
+
+def _comparison_off(spark: SparkSession, sf_dir: str, got: DataFrame) -> DataFrame:
+    """Rows of the comparison table without a row of counts that gives the same figures."""
+    want = _expected_comparison(spark, sf_dir).alias("w")
+    fits = F.col("g.model") == F.col("w.model")
+    for c in ("accuracy", "precision", "recall", "f1", "threshold"):
+        fits &= _same(f"g.{c}", f"w.{c}")
+    return got.alias("g").join(want, fits, "left_anti")
+
+
+def _signals_off(signals: DataFrame, att: DataFrame, names: list[str], k: int = 3) -> DataFrame:
+    """Applications whose signals are not the k largest positive contributions, ranked row by row."""
+    name = F.array(*[F.lit(n) for n in names])
+    rows = (att.select(ID_COL, F.posexplode("contributions")).where(F.col("col") > 0)
+            .select(ID_COL, F.col("col").alias("v"), name[F.col("pos")].alias("feature")))
+    # a row per feature of an application: a bounded window
+    order = Window.partitionBy(ID_COL).orderBy(F.desc("v"), "feature")
+    best = (rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+            .groupBy(ID_COL).agg(F.array_sort(F.collect_list(F.struct("r", "feature"))).alias("s"))
+            .select(ID_COL, F.concat_ws(",", F.transform("s", lambda x: x["feature"])).alias("want")))
+    return (signals.join(best, ID_COL, "left")
+            .where(~F.col("top_features").eqNullSafe(F.coalesce("want", F.lit("")))))
+
+
+def _add_snapshot_checks(spark: SparkSession, sf_dir: str, add, tm: training.TrainedModel, err: DataFrame) -> None:
+    """The stored snapshot, read back, against counts of the test rows."""
+    snap = q_validation_snapshot(spark, sf_dir)
+    cm = [F.col(f"confusion_matrix.{c}") for c in ("true_negative", "false_positive", "true_positive", "false_negative")]
+    add("validation_snapshot", "confusion_total", snap, F.max(sum(cm[1:], cm[0])))
+    add("validation_snapshot", "scenarios", snap, F.max(F.size("demo_scenarios")))
+    flat = snap.select(*[F.col(f"final_metrics.{c}").alias(f"s_{c}") for c in ("accuracy", "precision", "recall", "f1", "threshold")],
+                       *[c.cast("double").alias(f"s_{n}") for n, c in zip(("tn", "fp", "tp", "fn"), cm)])
+    own = _plain_metrics(err, BOOSTED_NAME, tm.threshold).withColumn("threshold", F.round("threshold", 3))
+    both = flat.join(own, F.lit(True))                   # a row on either side
+    fields = ("accuracy", "precision", "recall", "f1", "threshold", "tn", "fp", "tp", "fn")
+    add("validation_snapshot", "fields_off", both, F.sum(sum(((~_same(f"s_{c}", c)).cast("int") for c in fields), F.lit(0))))
+    table = snap.select(F.explode("model_comparison").alias("m")).select(
+        F.regexp_replace("m.name", r" \(Final\)$", "").alias("model"), "m.accuracy", "m.precision", "m.recall", "m.f1")
+    want = _expected_comparison(spark, sf_dir).select("model", "accuracy", "precision", "recall", "f1")
+    add("validation_snapshot", "comparison_rows", table, F.count(F.lit(1)))
+    add("validation_snapshot", "comparison_off", table.exceptAll(want), F.count(F.lit(1)))
+
+
 def _oversampling_faults(balanced: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Synthetic rows with ``off``: not between their source and neighbour; sources with ``n`` rows each and ``least``."""
     made = balanced.filter("is_synthetic")
-    own = balanced.filter("NOT is_synthetic").select("key", F.col("x").alias("v"))
-    ends = (made.join(own.select(F.col("key").alias("source_key"), F.col("v").alias("a")), "source_key", "left")
-            .join(own.select(F.col("key").alias("neighbour_key"), F.col("v").alias("b")), "neighbour_key", "left"))
+    own = balanced.filter("NOT is_synthetic").select("id", F.col("x").alias("v"))
+    ends = (made.join(own.select(F.col("id").alias("source_id"), F.col("v").alias("a")), "source_id", "left")
+            .join(own.select(F.col("id").alias("neighbour_id"), F.col("v").alias("b")), "neighbour_id", "left"))
 
     def total(v):
         return F.aggregate(v, F.lit(0.0), lambda acc, d: acc + d)
@@ -252,7 +321,7 @@ def _oversampling_faults(balanced: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = F.col("u").between(-1e-9, 1.0 + 1e-9) & (F.array_max(gap) <= 1e-9)
     off = ends.select((~F.coalesce(fits, F.lit(False))).alias("off"))
     n_sources = balanced.filter("NOT is_synthetic").groupBy("label").count().agg(F.min("count")).first()[0]
-    uneven = made.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).withColumn("least", F.lit(made.count() // max(1, n_sources)))
+    uneven = made.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("least", F.lit(made.count() // max(1, n_sources)))
     return off, uneven
 
 

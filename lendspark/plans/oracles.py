@@ -518,14 +518,15 @@ SELECT q AS query, c AS "check", CAST(x AS BIGINT) AS value FROM (
   UNION ALL SELECT 'train_gbt', 'trees', 220
   UNION ALL SELECT 'train_forest', 'trees', 160
   UNION ALL SELECT 'validation_snapshot', 'confusion_total', t.n FROM t
+  UNION ALL SELECT 'validation_snapshot', unnest(['scenarios', 'fields_off', 'comparison_rows', 'comparison_off']), unnest([4, 0, 3, 0])
   UNION ALL SELECT 'contribution_summary', 'margin_off_rows', 0
-  UNION ALL SELECT 'top_risk_signals', 'margin_off_rows', 0
+  UNION ALL SELECT 'top_risk_signals', unnest(['rows', 'off_rows']), unnest([t.n, 0]) FROM t
   UNION ALL SELECT 'contribution_summary', 'attributed_rows', t.n FROM t
   UNION ALL SELECT 'linear_contribution_summary', 'margin_off_rows', 0
   UNION ALL SELECT 'score_with_model', 'scored_rows', v.n FROM v
   UNION ALL SELECT 'smote_oversample', 'off_segment_rows', 0
   UNION ALL SELECT 'smote_oversample', 'uneven_sources', 0
-  UNION ALL SELECT 'model_comparison', 'models', 3) AS x"""
+  UNION ALL SELECT 'model_comparison', unnest(['models', 'off_rows']), unnest([3, 0])) AS x"""
     q |= _raw_oracles(domains)
     return q
 

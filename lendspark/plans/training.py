@@ -15,13 +15,13 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import GBT_PARAMS, ID_COL, RANDOM_STATE, TARGET_COL, TARGET_RECALL
 from ..functions.features import engineer_features
 from ..operators import checks, encode, explain, metrics, models, sampling, smote
+from ..operators.boosting import BoostedTrees
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 
@@ -81,9 +81,9 @@ def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"],
     train = cut_lineage(data.train.select(ID_COL, TARGET_COL, "x"))
     balanced = smote.smote_oversample(train, ID_COL, "x", TARGET_COL, seed=seed) if oversample else \
         train.select(F.col(ID_COL).alias("key"), "x", F.col(TARGET_COL).alias("label"))
-    balanced = cut_lineage(balanced.select("key", "x", "label", *[c for c in ("is_synthetic", "source_key", "neighbour_key")
+    balanced = cut_lineage(balanced.select("key", "x", "label", *[c for c in ("is_synthetic", "id", "source_id", "neighbour_id")
                                                                    if c in balanced.columns]))
-    model = models.train_gbt(balanced, max_iter=max_iter, label_col="label", seed=seed, x_col="x")
+    model = models.train_gbt(balanced, max_iter=max_iter, label_col="label", seed=seed, x_col="x", key_col="key")
 
     def scored(df: DataFrame) -> DataFrame:
         return models.score_probability(model, df.select(ID_COL, TARGET_COL, "x"), x_col="x")
@@ -103,12 +103,12 @@ def scenario_rows(spark: SparkSession, trained: TrainedModel) -> DataFrame:
 
 def save_artifacts(spark: SparkSession, trained: TrainedModel, path: str) -> None:
     """S3: model, spec and threshold side by side."""
-    trained.model.write().overwrite().save(os.path.join(path, "model"))
+    trained.model.save(spark, os.path.join(path, "model"))
     encode.save_spec(spark, trained.spec, os.path.join(path, "spec"), trained.threshold)
 
 
 def load_artifacts(spark: SparkSession, path: str):
-    model = GBTClassificationModel.load(os.path.join(path, "model"))
+    model = BoostedTrees.load(spark, os.path.join(path, "model"))
     spec, t = encode.load_spec(spark, os.path.join(path, "spec"))
     return model, spec, t
 
@@ -125,7 +125,7 @@ def error_frame(trained: TrainedModel) -> DataFrame:
 
 
 def attribution(spark: SparkSession, trained: TrainedModel, rows: DataFrame) -> DataFrame:
-    """Per-row path attribution of the boosted model (contributions, base, margin)."""
+    """Per-row Shapley values of the boosted model's margin (contributions, base, margin)."""
     tables = explain.tree_tables(spark, trained.model)
     keep = [c for c in rows.columns if c != "x"]
     return explain.tree_contributions(rows, tables, "x", keep)

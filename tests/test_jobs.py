@@ -1,5 +1,6 @@
 import os
 
+from lendspark.constants import GBT_PARAMS
 from lendspark.plans import jobs
 from lendspark.sources.applications import load_applications
 
@@ -35,7 +36,8 @@ def test_reference_flows_write_their_outputs(spark, tmp_path):
     run = spark.read.json(os.path.join(out, "analysis", "error_analysis_summary")).first()
     assert run["decision_threshold"] == tm.threshold and sum(r["Count"] for r in run["error_counts"]) == n_test
     import json
-    assert "gamma" not in json.loads(payload["optimized_params"])
+    params = json.loads(payload["optimized_params"])
+    assert params == {**GBT_PARAMS, "n_estimators": 3} and tm.model.params["gamma"] == params["gamma"]
 
 
 def test_threshold_is_not_picked_on_test_rows(spark):
