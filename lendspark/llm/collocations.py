@@ -46,6 +46,7 @@ DENSE_SHARE = 64                # a tile is counted densely if it has a pair for
 CHUNK = 1 << 20                 # ids that are counted together
 ROW = 2048                      # ids of a written row, about: a task takes 10,000 rows at a time
 BLOCK = 1 << 20                 # entries of a vocabulary that a task holds at a time
+COUNTED = 1 << 18               # different words that a task counts before it hands them on
 
 RESULT = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -77,7 +78,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     before = len(own)
                     own.update(_normal(text).split())
                     size += len(own) - before
-                    if size > BLOCK:
+                    if size > COUNTED:
                         yield from _counted(counts)
                         counts, size = {}, 0
         yield from _counted(counts)
