@@ -7,6 +7,7 @@ the map side, a few rows shuffled), or read the small threshold grid.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import CATEGORICAL_COLUMNS, DOMAINS
 from .metrics import _zero_div, threshold_counts, with_rates
 from .quantiles import kth_smallest
-from .rules import RULES
+from .rules import RULES, Rule
 
 PSI_FLOOR = 1e-4
 # --- Fixed values: PSI alarm levels (common industry convention) ---
@@ -26,21 +27,21 @@ def _cnt(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def rule_usage(ruled: DataFrame, catalog: DataFrame) -> DataFrame:
+def rule_usage(ruled: DataFrame, catalog: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """N1 (+D1): how often each rule fires and how often it flips a decision.
 
-    ``ruled`` carries the rule flags ``_f1.._f7`` and ``model_class`` /
+    ``ruled`` carries the rule flags ``_f<position>`` and ``model_class`` /
     ``final_class``.
     """
     changed = F.col("model_class") != F.col("final_class")
     aggs = [F.count(F.lit(1)).alias("n_total")]
-    for r in RULES:
+    for r in rules:
         f = F.col(f"_f{r.position}")
         aggs += [_cnt(f).alias(f"fired_{r.position}"), _cnt(f & changed).alias(f"changed_{r.position}")]
     wide = ruled.agg(*aggs)
-    stack = ", ".join(f"{r.position}, fired_{r.position}, changed_{r.position}" for r in RULES)
-    long = wide.selectExpr("n_total", f"stack({len(RULES)}, {stack}) AS (position, n_fired, n_decision_changed)")
-    # the catalog is 7 rows: a proven broadcast bound
+    stack = ", ".join(f"{r.position}, fired_{r.position}, changed_{r.position}" for r in rules)
+    long = wide.selectExpr("n_total", f"stack({len(rules)}, {stack}) AS (position, n_fired, n_decision_changed)")
+    # the catalog has a row per rule, at most rule_table.MAX_RULES: a proven broadcast bound
     return (long.join(F.broadcast(catalog.select("position", "rule_id", "direction", "multiplier")), "position")
             .select(F.col("position").cast("int"), "rule_id", "direction", "multiplier", "n_fired",
                     "n_decision_changed",

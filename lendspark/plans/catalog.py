@@ -7,6 +7,8 @@ DuckDB oracles in ``oracles.py`` one to one.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 from ..constants import CATEGORICAL_COLUMNS, COSIGNER_WORDS, ID_COL, MONTHS_SUFFIX, TARGET_COL
 from ..functions.features import engineer_features, loan_profile
 from ..functions.text import format_currency, format_money, format_percent
-from ..operators import checks, encode, metrics, monitor, rules, sampling
+from ..operators import checks, encode, metrics, monitor, rule_table, rules, sampling
 from ..operators.validate import validate_applications
-from ..session import read_table, table_version
+from ..session import ensure_checkpoint_dir, read_table, table_version
 from ..sources.applications import load_applications, load_raw_applications
 from . import scoring
 
@@ -166,6 +168,49 @@ def q_rule_effect(spark, sf_dir):
     return monitor.rule_effect(ruled, t)
 
 
+#: a rule table of another order and length than the built-in one; the last five cannot be used
+USER_RULES = [
+    ("thin_file", 10, "NumCreditLines < 2", 1.30), ("steep_rate", 20, "InterestRate >= 18.5 AND LoanTerm >= 36", 1.45),
+    ("heavy_loan", 30, "LoanAmount / Income > 4", 1.25), ("young_borrower", 40, "Age BETWEEN 18 AND 24", 1.10),
+    ("graduate", 50, "Education IN ('Master''s', 'PhD')", 0.85), ("married_owner", 60, "MaritalStatus = 'Married' AND HasMortgage = 'Yes'", 0.90),
+    ("dependents", 70, "HasDependents = 'Yes'", 1.05), ("weak_score", 80, "CreditScore < 580", 1.60),
+    ("long_service", 90, "MonthsEmployed >= 60", 0.70), ("business_purpose", 100, "lower(LoanPurpose) LIKE 'bus%'", 1.15),
+    ("half_of_all", 110, "DTIRatio > 0.5", 0.50), ("cleared", 120, "CreditScore >= 800 AND HasCoSigner = 'Yes'", 0.0),
+    ("open_bracket", 130, "(Age > 20", 1.1), ("no_such_field", 140, "Salary > 10", 1.1), ("number", 150, "Age + 1", 1.1),
+    ("of_many", 160, "avg(Income) > 10", 1.1), ("mixed", 170, "Education > 3", 1.1),
+]
+
+
+def user_rules(spark: SparkSession) -> rule_table.RuleSet:
+    """The table written to storage, in no order, and read back."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"rules-{uuid.uuid4().hex}")
+    rows = [(*r, "user-1") for r in reversed(USER_RULES)]
+    spark.createDataFrame(rows, "rule_id string, position int, predicate string, multiplier double, rule_version string").write.parquet(path)
+    return rule_table.read_rules(spark, path)
+
+
+def q_user_rule_scores(spark, sf_dir):
+    """D4 with the rules of a table."""
+    found = user_rules(spark)
+    scored = scoring.score_applications(applications(spark, sf_dir), calibrated_threshold(spark, sf_dir), rules=found.rules,
+                                        rule_version=found.version)
+    audit = F.transform("rule_audit", lambda a: F.concat_ws(":", a["id"], a["after"].cast("decimal(20,2)").cast("string")))
+    return scored.withColumn("rule_audit", F.concat_ws(",", audit))
+
+
+def q_user_rule_usage(spark, sf_dir):
+    """N1 over the rules of a table; refused rules with the reason and no counts."""
+    found = user_rules(spark)
+    t = calibrated_threshold(spark, sf_dir)
+    valid = validate_applications(applications(spark, sf_dir)).filter("is_valid").drop("violations", "is_valid")
+    ruled = scoring.rule_adjusted(valid, rules=found.rules)
+    with_cls = ruled.withColumns({"model_class": metrics.classify(F.col("model_probability"), t),
+                                  "final_class": metrics.classify(F.col("adjusted_probability"), t)})
+    used = monitor.rule_usage(with_cls, rules.rule_catalog(spark, found.rules, found.version), found.rules)
+    return used.withColumn("rejected", F.lit("")).unionByName(
+        found.rejected_frame(spark).select("rule_id", "multiplier", F.col("reason").alias("rejected")), allowMissingColumns=True)
+
+
 def q_decision_summary(spark, sf_dir):
     return monitor.decision_summary(scored_table(spark, sf_dir))
 
@@ -372,6 +417,8 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_applications": q_score_applications,
     "rule_audit": q_rule_audit,
     "rule_usage": q_rule_usage,
+    "user_rule_scores": q_user_rule_scores,
+    "user_rule_usage": q_user_rule_usage,
     "rule_effect": q_rule_effect,
     "decision_summary": q_decision_summary,
     "threshold_curve": q_threshold_curve,

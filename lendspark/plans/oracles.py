@@ -300,6 +300,7 @@ SELECT "LoanID", CAST(row_number() OVER (PARTITION BY "LoanID" ORDER BY pos) AS
     q["rule_usage"] = f"""{BASE_SCORED}
 SELECT CAST(position AS INTEGER) AS position, rule_id, direction, multiplier, n_fired, n_decision_changed,
   round({_div('n_fired', 'n_total')}, 6) AS fire_rate FROM ({usage_rows}) u"""
+    q |= _user_rule_oracles()
     # rule effect: re-fold the chain without each rule
     variants = [("all_rules", None)] + [(f"without_{rid}", i) for i, rid in enumerate(RULE_IDS, start=1)]
     var_ctes = []
@@ -531,6 +532,62 @@ SELECT q AS query, c AS "check", CAST(x AS BIGINT) AS value FROM (
     return q
 
 
+# --- Fixed values: the user's rule table, stated apart from the library: id, condition, multiplier ---
+USER_RULES = [
+    ("thin_file", '"NumCreditLines" < 2', "1.30"),
+    ("steep_rate", '"InterestRate" >= CAST(18.5 AS DOUBLE) AND "LoanTerm" >= 36', "1.45"),
+    ("heavy_loan", '"Income" <> 0 AND "LoanAmount" / "Income" > 4', "1.25"),
+    ("young_borrower", '"Age" >= 18 AND "Age" <= 24', "1.10"),
+    ("graduate", "\"Education\" = 'Master''s' OR \"Education\" = 'PhD'", "0.85"),
+    ("married_owner", "\"MaritalStatus\" = 'Married' AND \"HasMortgage\" = 'Yes'", "0.90"),
+    ("dependents", "\"HasDependents\" = 'Yes'", "1.05"),
+    ("weak_score", '"CreditScore" < 580', "1.60"),
+    ("long_service", '"MonthsEmployed" >= 60', "0.70"),
+    ("business_purpose", "\"LoanPurpose\" = 'Business'", "1.15"),
+    ("half_of_all", '"DTIRatio" > CAST(0.5 AS DOUBLE)', "0.50"),
+    ("cleared", "\"CreditScore\" >= 800 AND \"HasCoSigner\" = 'Yes'", "0.0"),
+]
+USER_RULES_REFUSED = [("open_bracket", "does not parse"), ("no_such_field", "unknown column"), ("number", "not a condition"),
+                      ("of_many", "not a condition on one application"), ("mixed", "types do not fit")]
+
+
+def _user_rule_oracles() -> dict[str, str]:
+    flags = ", ".join(f"coalesce({c}, FALSE) AS f{i}" for i, (_, c, _) in enumerate(USER_RULES, 1))
+    steps = ",\n    ".join(_step(i, f"f{i}", m) for i, (_, _, m) in enumerate(USER_RULES, 1))
+    n = len(USER_RULES)
+    base = "WITH " + ",".join([APPS, ENG, VALID, f"""
+flagged AS (SELECT *, {flags}, model_probability AS p0 FROM valid),
+ruled AS (SELECT *, {steps} FROM flagged)""", curve_cte("curve_all", "apps", 100, 900), pick_cte("thr_all", "curve_all"), f"""
+scored AS (
+  SELECT r.*, t.threshold AS t,
+    CASE WHEN r.model_probability >= t.threshold THEN 1 ELSE 0 END AS model_class,
+    CASE WHEN r.p{n} >= t.threshold THEN 1 ELSE 0 END AS final_class
+  FROM ruled r JOIN thr_all t ON TRUE)"""])
+    ids = "concat_ws(',', " + ", ".join(f"CASE WHEN f{i} THEN '{r}' END" for i, (r, _, _) in enumerate(USER_RULES, 1)) + ")"
+    trail = "concat_ws(',', " + ", ".join(
+        f"CASE WHEN f{i} THEN '{r}:' || CAST(CAST(round(p{i} * CAST(100 AS DOUBLE), 2) AS DECIMAL(20, 2)) AS VARCHAR) END"
+        for i, (r, _, _) in enumerate(USER_RULES, 1)) + ")"
+    fired = " + ".join(f"CAST(f{i} AS INTEGER)" for i in range(1, n + 1))
+    usage = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{r}' AS rule_id, CAST({m} AS DOUBLE) AS multiplier, "
+        f"{_sum_if(f'f{i}')} AS n_fired, {_sum_if(f'f{i} AND model_class <> final_class')} AS n_decision_changed, "
+        f"CAST(COUNT(*) AS BIGINT) AS n_total FROM scored" for i, (r, _, m) in enumerate(USER_RULES, 1))
+    refused = " UNION ALL ".join(
+        f"SELECT CAST(NULL AS INTEGER), '{r}', CAST(NULL AS VARCHAR), CAST(1.1 AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), "
+        f"CAST(NULL AS DOUBLE), '{why}'" for r, why in USER_RULES_REFUSED)
+    return {"user_rule_scores": f"""{base}
+SELECT "LoanID", model_probability, p{n} AS adjusted_probability, model_class, final_class,
+  round(model_probability * CAST(100 AS DOUBLE), 2) AS model_score_pct,
+  round(p{n} * CAST(100 AS DOUBLE), 2) AS adjusted_score_pct,
+  round("DTIRatio", 4) AS dti, {ids} AS applied_rules, {fired} AS n_rules, {trail} AS rule_audit,
+  'user-1' AS rule_version, round(t, 3) AS threshold,
+  CASE WHEN final_class = 0 THEN 'Onaylanabilir Profil' ELSE 'Manuel İnceleme' END AS decision
+FROM scored""", "user_rule_usage": f"""{base}
+SELECT CAST(position AS INTEGER) AS position, rule_id, CASE WHEN multiplier < 1 THEN 'reduce' ELSE 'increase' END AS direction, multiplier,
+  n_fired, n_decision_changed, round({_div('n_fired', 'n_total')}, 6) AS fire_rate, '' AS rejected FROM ({usage}) u
+UNION ALL {refused}"""}
+
+
 def _raw_apps() -> str:
     def text(name: str, offset: int, good: str, low: str) -> str:
         return (f"CASE (k + {offset}) % 43 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN '20.5' WHEN 3 THEN '{low}' "
