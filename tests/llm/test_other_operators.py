@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest_llm import ODD, words
 
-from lendspark.llm import decontaminate, html_text, license_scan, packing, suffix_tree
+from lendspark.llm import decontaminate, html_text, license_scan, packing
 
 
 def lower(t):
@@ -158,56 +158,6 @@ def test_small_pools(make_docs):
     assert len(got) == 40 and len({(r.sequence_id, r.offset) for r in got}) == 40
 
 
-# --- suffix tree
-
-def test_suffix_tree(make_docs):
-    phrase = "Released under the MIT License ."
-    rows = [(i, " ".join(words(i * 50 + j, 6) + " " + phrase for j in range(6))) for i in range(300)] + ODD
-    docs = make_docs(rows, extra=True)
-    got = suffix_tree.score(docs, block_bytes=20_000).collect()
-    assert len(got) == len(rows)
-    symbols = {i: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), None] for i, t in rows}
-    c, n_copies = Counter(), Counter(i for i, _ in rows)
-    for i, w in symbols.items():
-        if zlib.crc32(str(i if i is not None else "null").encode()) % 7 != 2:
-            c.update(w * n_copies[i])
-    n, v = sum(c.values()), len(c)
-    gain = []
-    for r in got:
-        w = symbols[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        if r.held_out and r.doc_id is not None and r.doc_id < 300:
-            gain.append(r.score - r.base_score)
-    assert len(gain) > 20 and min(gain) > 0
-
-
-def test_distributions_sum_to_one(make_docs):
-    """In every state the probabilities of all symbols, the unknown one with them, add up to one."""
-    rows = [(i, " ".join("a b c a b d".split()[(i + j) % 6] for j in range(60))) for i in range(60)]
-    docs = make_docs(rows)
-    tree = suffix_tree.grow(docs.select("text"))
-    assert any(level.kept.any() for level in tree.levels)
-    counts, seen = Counter(), Counter()
-    for _, t in rows:
-        data = np.frombuffer(t.encode(), np.uint8)
-        s, bounds = suffix_tree.tokens(data, np.array([0, len(data)]))
-        seen.update(s.tolist())
-        for length, state in enumerate(suffix_tree.states(tree, s, bounds), 1):
-            counts.update((length, int(q), int(x)) for q, x in zip(state, s, strict=True) if q >= 0)
-    root = {x: (seen[x] + 1) / (tree.symbols + tree.vocabulary + 1) for x in [*seen, -1]}
-    assert math.isclose(sum(root.values()), 1)
-    for length, level in enumerate(tree.levels, 1):
-        for q in np.flatnonzero(level.kept):
-            known = {x: n for (a, b, x), n in counts.items() if (a, b) == (length, q)}
-            assert sum(known.values()) == level.total[q]
-
-
-def test_no_training_text(make_docs):
-    got = suffix_tree.score(make_docs([(i, None) for i in range(3)]).where("doc_id > 5"))
-    assert got.count() == 0
-
-
 # --- HTML
 
 PAGES = [
