@@ -8,20 +8,24 @@ most the largest ratio) are content.  The content region is the smallest element
 that holds nearly all of the content lines, or the page's article or main
 element if that holds most of them, and all lines of the region belong to the
 text but those inside elements that are never article text: menus, headers,
-footers, asides, scripts, styles.  Forms and elements whose names speak of
-adverts, notices, reader comments and the like are left out too, unless one holds
-the page's largest article or main element, or ``MARKED_SHARE`` of its text: then
-it is a wrapper of the page.
+footers, asides, scripts, styles.  Forms, and elements whose class, id or role is made of words for adverts, notices, reader
+comments and the like, are left out too, unless one holds the page's largest article or main element, or
+``MARKED_SHARE`` of its text: then it is a wrapper of the page.  Where such a word is only part of a name
+(``share-price``, ``notice-of-motion``) the ratios decide: the element is left out if none of its lines is content.
 
 Defined results: null and empty pages and pages without text give an empty text;
 broken markup is read as far as the parser gets, unclosed paragraphs end at the
-next block; repeated rows are read one by one; character references are decoded.
-Only ``page_id``, ``url`` and ``html`` are read.
+next block; unknown declarations and marked sections are markup and go; a tag or declaration that the page breaks off
+in goes; repeated rows are read one by one; character references are decoded; of elements with equal text the
+last article and the first other one count as larger; an empty table gives an empty table; pages of any length and
+nesting are read whole, in time linear in both.  Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,8 +55,13 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "popup modal overlay newsletter subscribe signup login comment comments commentlist disqus respond replies "
                   "reply related recommended recommendations share sharing social widget widgets toolbar pagination pager "
                   "copyright disclaimer skip".split())
+# fixed values: words that say nothing of their own beside a mark
+PLAIN = frozenset("area bar block bottom box button buttons center col column container content cta form global group header inner item "
+                  "items left links list main module new outer page panel primary region right row secondary section site slot small "
+                  "text title top unit widget wrap wrapper zone".split())
 CONTENT = frozenset("content article post main story entry".split())
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+_DOCTYPE = re.compile(r"<!doctype[^>\[]*\[[^\]]*\]\s*>", re.IGNORECASE)
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _WHITE = re.compile(r"\s+")
 
@@ -75,10 +84,36 @@ class Reader(HTMLParser):
         self.parent = [-1]
         self.kind = [""]
         self.marked_in = [-1]                               # for each marked element, the one around it
+        self.sure = [False]                                 # whether its name is all marks
+        self.open: Counter[str] = Counter()                 # elements on the stack
+        self.ending = False
         self.articles: list[tuple[int, int]] = []           # holder and marked element around each article or main
         self.stack: list[tuple[str, int, bool, int]] = []   # element, holder, never article text, marked element
         self.current = _Line(0)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """Skips a declaration or marked section of whatever kind; -1: its end is not there yet."""
+        raw = self.rawdata
+        if raw.startswith("<!--", i):
+            return self.parse_comment(i)
+        if raw.startswith("<![CDATA[", i):
+            end = raw.find("]]>", i) + 2
+            end = -1 if end == 1 else end
+        elif (found := _DOCTYPE.match(raw, i)) is not None:
+            return found.end()
+        elif raw[i:i + 9].lower() == "<!doctype" and "[" in raw[i:(raw.find(">", i) if raw.find(">", i) >= 0 else len(raw))] and not self.ending:
+            return -1
+        else:
+            end = raw.find(">", i)
+        if end < 0 and self.ending:
+            end = raw.find(">", i)
+            return len(raw) if end < 0 else end + 1
+        return end + 1 if end >= 0 else -1
+
+    def close(self) -> None:
+        self.ending = True
+        super().close()
+
     def _hidden(self) -> bool:
         return bool(self.stack) and self.stack[-1][2]
 
@@ -112,6 +147,7 @@ class Reader(HTMLParser):
         holder, mark, named = self._holder(), self._mark(), _marked(attrs)
         if tag == "form" or (named and tag not in ("html", "body", "main", "article")):
             self.marked_in.append(mark)
+            self.sure.append(tag == "form" or named == 2)
             mark = len(self.marked_in) - 1
         if tag in HOLDERS:
             self.parent.append(holder)
@@ -122,6 +158,7 @@ class Reader(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.stack.append((tag, holder, never, mark))
+        self.open[tag] += 1
         self.current.holder = holder
 
     def _close_implied(self, tag: str) -> None:
@@ -142,13 +179,16 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.current.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):         # what it passes is closed, so each element is passed once
             if self.stack[i][0] == tag:
                 self._pop(i)
                 return
 
     def _pop(self, i: int) -> None:
         self.flush()
+        self.open.subtract(e[0] for e in self.stack[i:])
         del self.stack[i:]
         self.current.holder = self._holder()
 
@@ -157,11 +197,17 @@ class Reader(HTMLParser):
             self.current.parts.append((self._mark(), data))
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-    if not names or CONTENT & {n.lower() for n in names.split()}:
-        return False
-    return bool(MARKS & {w.lower() for w in _WORD.findall(names)})
+def _marked(attrs: list[tuple[str, str | None]]) -> int:
+    """2: a class, id or role is made of marks; 1: a mark is part of one; 0: none."""
+    names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).split()
+    if not names or CONTENT & {n.lower() for n in names}:
+        return 0
+    found = 0
+    for name in names:
+        words = {w.lower() for w in _WORD.findall(name) if not w.isdigit()}
+        if words & MARKS:
+            found = max(found, 2 if words <= MARKS | PLAIN else 1)
+    return found
 
 
 def _unseen(attrs: list[tuple[str, str | None]]) -> bool:
@@ -180,12 +226,13 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def blocks_of(html: str) -> list[str]:
     """The main text's blocks in page order."""
     reader = Reader()
-    for at in range(0, len(html), PIECE):
-        reader.feed(html[at:at + PIECE])
-    left = _UNFINISHED.search(reader.rawdata)                 # a tag that the page breaks off in is no text
-    if left:
-        reader.rawdata = reader.rawdata[:left.start()]
-    reader.close()
+    with contextlib.suppress(AssertionError):                 # the parser's own, on markup it cannot go on with
+        for at in range(0, len(html), PIECE):
+            reader.feed(html[at:at + PIECE])
+        left = _UNFINISHED.search(reader.rawdata)             # a tag that the page breaks off in is no text
+        if left:
+            reader.rawdata = reader.rawdata[:left.start()]
+        reader.close()
     reader.flush()
     out = _left_out(reader)
     texts, lines, tags = [], [], 0
@@ -202,6 +249,8 @@ def blocks_of(html: str) -> list[str]:
     length = np.array([len(t) for t in texts], dtype=float)
     smoothed = smooth(length / np.maximum([line.tags for line in lines], 1))
     content = smoothed >= min(LAMBDA * smoothed.std(), smoothed.max())
+    doubtful = _without_content(reader, out, lines, content)
+    stays = [any(not out[mark] and not doubtful[mark] for mark, _ in line.parts) for line in lines]
     mass = np.zeros(len(reader.parent))
     for line, n, c in zip(lines, length, content, strict=True):
         mass[line.holder] += n * c
@@ -212,7 +261,21 @@ def blocks_of(html: str) -> list[str]:
     inside[region] = True
     for i in range(1, len(mass)):
         inside[i] |= inside[reader.parent[i]]
-    return [t for t, line in zip(texts, lines, strict=True) if inside[line.holder]]
+    return [t for t, line, s in zip(texts, lines, stays, strict=True) if s and inside[line.holder]]
+
+
+def _without_content(reader: Reader, out: list[bool], lines: list[_Line], content: np.ndarray) -> list[bool]:
+    """For each element of which a mark is only part of the name, whether none of its lines is content."""
+    some = [False] * len(reader.marked_in)
+    for line, c in zip(lines, content, strict=True):
+        for mark, _ in line.parts:
+            some[mark] |= bool(c)
+    for i in range(len(some) - 1, 0, -1):
+        some[reader.marked_in[i]] |= some[i]
+    empty = [False] * len(some)
+    for i in range(1, len(some)):
+        empty[i] = empty[reader.marked_in[i]] or not (some[i] or reader.sure[i] or out[i])
+    return empty
 
 
 def _left_out(reader: Reader) -> list[bool]:
@@ -234,7 +297,7 @@ def _left_out(reader: Reader) -> list[bool]:
             wraps[at], at = True, reader.marked_in[at]
     out = [False] * n
     for i in range(1, n):
-        out[i] = out[reader.marked_in[i]] or not (wraps[i] or mass[i] >= MARKED_SHARE * mass[0])
+        out[i] = out[reader.marked_in[i]] or (reader.sure[i] and not (wraps[i] or mass[i] >= MARKED_SHARE * mass[0]))
     return out
 
 
@@ -245,12 +308,17 @@ def _region(reader: Reader, mass: np.ndarray) -> list[int]:
         best = max(articles, key=lambda i: (mass[i], i))
         if mass[best] >= ARTICLE_SHARE * mass[0]:
             return [best]
+    if not mass[0]:
+        return [0]
+    # at most one element inside another holds so large a share
+    inner = {}
+    for i in range(len(mass) - 1, 0, -1):
+        if mass[i] >= REGION_SHARE * mass[0]:
+            inner[reader.parent[i]] = i
     at = 0
-    while True:
-        inner = [i for i in range(at + 1, len(mass)) if reader.parent[i] == at and mass[i] >= REGION_SHARE * mass[0]]
-        if not inner or not mass[0]:
-            return [at]
-        at = inner[0]
+    while at in inner:
+        at = inner[at]
+    return [at]
 
 
 def extract(html: str | None) -> str:

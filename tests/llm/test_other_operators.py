@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -192,6 +193,46 @@ def test_marked_wrappers_of_a_page(begin, end):
         assert html_text.extract(f"<body>{begin}<{tag}>{body}</{tag}>{many}{end}</body>") == want
 
 
+LONG = "long text " * 30
+BROKEN = [("<![foo]>", ""), ("<![x y]>", ""), ("<![ ]>", ""), ("<![1]>", ""), ("<!DOCTYPE html [<!ENTITY x 'y'>]>", ""), ("<!--[if IE]><p>old</p><![endif]-->", ""),
+          ("<![if !IE]>", "<![endif]>"), ("<![CDATA[ a > b ]]>", ""), ("<!ELEMENT br EMPTY>", ""), ("<!>", ""), ("<?php echo 1 ?>", ""), ("</>", ""),
+          ("</nope>" * 50, ""), ("<!doctype html public '-//W3C//DTD' 'http://x'>", "")]
+
+
+@pytest.mark.parametrize("begin, end", BROKEN)
+def test_declarations_are_markup(begin, end):
+    assert html_text.extract(f"<body>{begin}<div><p>{LONG}</p>{begin}<p>short</p>{end}</div>{end}</body>") == f"{LONG.strip()}\n\nshort"
+
+
+def test_random_markup_through_spark(spark):
+    """No page fails the job, whatever its markup; pages that break off anywhere are read as far as they go."""
+    r = random.Random(8)
+    parts = ["<![", "<!", "<!--", "-->", "]>", "]]>", "<", ">", "</", "<p>", "</p>", "<div class='ad", "'>", "<a href=", "&amp", "&#x", ";", "text ", "<script>", "<!DOCTYPE [",
+             "<table><tr><td>", "\x00", "<?", "é", "<svg>", "<![CDATA[", "[if", "\n"]
+    rows = [(i, None, "".join(r.choice(parts) for _ in range(r.randint(1, 40)))) for i in range(1500)]
+    rows += [(2000 + i, None, f"<!DOCTYPE html [<!ENTITY x 'y'>]><body><p>{LONG}</p><![x]></body>"[:i]) for i in range(120)]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(g.n_chars == len(g.text) for g in got)
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["class='share-price'", "id='notice-of-motion'", "class='reply-brief'", "class='banner-study related-work'"])
+def test_a_mark_within_a_name_leaves_content(name):
+    page = f"<body><nav><a>x</a></nav><article><p>{LONG}</p><div {name}><p>{LONG}</p></div><p>{LONG}</p></article></body>"
+    assert html_text.extract(page) == "\n\n".join([LONG.strip()] * 3)
+
+
+def test_deep_nesting_is_read_in_linear_time():
+    import time
+    took = []
+    for n in (3000, 12_000):
+        page = "<div>" * n + f"<p>{LONG}</p>" + "</div>" * n + "<span></span></b>" * n
+        t = time.process_time()
+        assert html_text.extract(page) == LONG.strip()
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 def test_pieces_do_not_change_a_page(monkeypatch):
     html = "<div>" + "".join(f"<p>par {i} &amp; more</p><!-- c -->" for i in range(50)) + "</div>"
     whole = html_text.extract(html)
