@@ -20,7 +20,7 @@ from ..functions.text import format_currency, format_money, format_percent
 from ..operators import checks, encode, metrics, monitor, rule_table, rules, sampling
 from ..operators.validate import validate_applications
 from ..session import ensure_checkpoint_dir, read_table, table_version
-from ..sources.applications import load_applications, load_raw_applications
+from ..sources.applications import APPLICATION_SCHEMA, load_applications, load_raw_applications, read_checked
 from . import scoring
 
 DRIFT_FEATURES = ["Income", "LoanAmount", "CreditScore", "InterestRate", "DTIRatio", "model_probability"]
@@ -132,6 +132,25 @@ def q_read_applications_csv(spark, sf_dir):
     return read_applications(spark, path, "csv", key_type="long")
 
 
+def q_csv_records(spark, sf_dir):
+    """Lines of a file that are records, and those that are not, by reason; with places that are all different."""
+    apps = applications(spark, sf_dir)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"lines-{uuid.uuid4().hex}")
+    names = [f.name for f in APPLICATION_SCHEMA.fields]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in apps.columns else F.lit("") for c in names]
+    whole, k = F.concat_ws(",", *text), F.col(ID_COL) % 40
+    line = (F.when(k == 0, F.concat_ws(",", *text[:-3])).when(k == 1, F.concat(whole, F.lit(",more"))).when(k == 2, F.concat(F.lit('"'), whole))
+            .when(k == 3, F.replace(whole, F.lit("Full-time"), F.lit("Full,time"))).when(k == 4, F.lit("  "))
+            .when(k == 5, F.concat(F.lit('"a ""quoted"", id",'), F.concat_ws(",", *text[1:]))).otherwise(whole))
+    apps.select(line.alias("value")).write.text(path)
+    good, malformed, counts = read_checked(spark, path, header=False)
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_blank", "n_records")])
+    rows = total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("reason"), F.col(c).alias("n"), F.col(c).alias("n_places")) for n, c in (
+        ("lines", "n_lines"), ("blank", "n_blank"), ("records", "n_records"))])).alias("r")).select("r.*")
+    keys = good.agg(F.lit("applications").alias("reason"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("Age").isNotNull()).alias("n_places"))
+    return rows.unionByName(keys).unionByName(malformed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file", "line").alias("n_places")))
+
+
 def q_decision_memo(spark, sf_dir):
     """the decision note of every scored application."""
     from ..functions.text import decision_memo
@@ -413,6 +432,7 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "application_display": q_application_display,
     "validate_applications": q_validate_applications,
     "read_applications_csv": q_read_applications_csv,
+    "csv_records": q_csv_records,
     "decision_memo": q_decision_memo,
     "score_applications": q_score_applications,
     "rule_audit": q_rule_audit,

@@ -301,6 +301,12 @@ SELECT "LoanID", CAST(row_number() OVER (PARTITION BY "LoanID" ORDER BY pos) AS
 SELECT CAST(position AS INTEGER) AS position, rule_id, direction, multiplier, n_fired, n_decision_changed,
   round({_div('n_fired', 'n_total')}, 6) AS fire_rate FROM ({usage_rows}) u"""
     q |= _user_rule_oracles()
+    q["csv_records"] = f"""WITH {APPS}, k AS (SELECT "LoanID" % 40 AS k, "EmploymentType" = 'Full-time' AS whole_day FROM apps),
+r AS (SELECT CASE k WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'unclosed quote' WHEN 3 THEN CASE WHEN whole_day THEN 'long' ELSE 'records' END
+             WHEN 4 THEN 'blank' ELSE 'records' END AS reason FROM k)
+SELECT reason, count(*) AS n, count(*) AS n_places FROM r GROUP BY reason
+UNION ALL SELECT 'lines', count(*), count(*) FROM r
+UNION ALL SELECT 'applications', count(*), count(*) FROM r WHERE reason = 'records'"""
     # rule effect: re-fold the chain without each rule
     variants = [("all_rules", None)] + [(f"without_{rid}", i) for i, rid in enumerate(RULE_IDS, start=1)]
     var_ctes = []

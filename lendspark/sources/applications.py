@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..constants import CATEGORICAL_COLUMNS, ID_COL, TARGET_COL
 from ..session import read_table, tune_session
+from . import csv_lines
 
 APPLICATION_SCHEMA = T.StructType([
     T.StructField("LoanID", T.LongType()),
@@ -191,19 +192,47 @@ def read_applications(spark: SparkSession, path: str, fmt: str = "csv", schema:
         raw = spark.read.option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    missing = [c for c in REQUIRED_COLUMNS if c in schema.names and c not in raw.columns]
+    return typed_applications(raw, schema, key_type, path)
+
+
+def typed_applications(raw: DataFrame, schema: T.StructType | None = None, key_type: str = "string", path: str = "") -> DataFrame:
+    """Application columns, found by name and cast; see ``read_applications``.
+
+    Rows without an id that hold the same fields have one key, unless the rows carry their place (``_file`` and
+    ``_line``, as those of ``read_checked`` do): then rows that repeat get the place added to it.
+    """
+    schema = schema or APPLICATION_SCHEMA
+    columns = [c for c in raw.columns if c not in ("_file", "_line")]
+    missing = [c for c in REQUIRED_COLUMNS if c in schema.names and c not in columns]
     if missing:
         raise ValueError(f"missing columns in {path}: {', '.join(missing)}")
-    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in columns else F.lit(None).cast(f.dataType)).alias(f.name)
              for f in schema.fields if f.name != ID_COL]
     if ID_COL not in schema.names:
         return raw.select(*typed)
-    fields = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    fields = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    given = F.col(ID_COL).try_cast(key_type) if ID_COL in columns else F.lit(None).cast(key_type)
+    if "_line" in raw.columns:
+        raw = raw.withColumn("_own", F.when(given.isNull(), fields))
+        # equal rows are counted in each task before the shuffle; the join is one whose large partitions Spark splits
+        again = raw.where(F.col("_own").isNotNull()).groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_own", F.lit(True).alias("_again"))
+        raw = raw.join(again, "_own", "left")
+        fields = F.when(F.col("_again"), F.xxhash64("_own", "_file", "_line")).otherwise(fields)
     own = F.concat(F.lit("row-"), F.hex(fields)) if key_type == "string" else fields
-    given = F.col(ID_COL).try_cast(key_type) if ID_COL in raw.columns else F.lit(None).cast(key_type)
     return raw.select(F.coalesce(given, own.cast(key_type)).alias(ID_COL), *typed)
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True,
+                 key_type: str = "string") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S1 with a quarantine: (applications, malformed records with file, line and reason, counts per file).
+
+    The applications are those of ``read_applications`` without the lines that are no records.
+    """
+    schema = schema or APPLICATION_SCHEMA
+    found = csv_lines.read_lines(spark, path, None if header else schema.names)
+    return typed_applications(found.records, schema, key_type, path), found.malformed, found.counts
+
+
 def require_target(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
     """Fail fast when the label is missing; otherwise cast it to int."""
     if target not in df.columns:

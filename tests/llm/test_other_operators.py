@@ -1,7 +1,5 @@
-import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
