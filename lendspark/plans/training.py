@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ..constants import GBT_PARAMS, ID_COL, RANDOM_STATE, TARGET_COL, TARGET_RECALL
 from ..functions.features import engineer_features
-from ..operators import checks, encode, explain, metrics, models, sampling, smote
-from ..operators.boosting import BoostedTrees
+from ..operators import artifacts, checks, encode, explain, metrics, models, sampling, smote
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 
@@ -101,16 +100,15 @@ def scenario_rows(spark: SparkSession, trained: TrainedModel) -> DataFrame:
     return scored.drop("x", "DTIRatio", "Age_Income_Interaction")
 
 
-def save_artifacts(spark: SparkSession, trained: TrainedModel, path: str) -> None:
-    """S3: model, spec and threshold side by side."""
-    trained.model.save(spark, os.path.join(path, "model"))
-    encode.save_spec(spark, trained.spec, os.path.join(path, "spec"), trained.threshold)
+def save_artifacts(spark: SparkSession, trained: TrainedModel, path: str, **notes) -> str:
+    """S3: publishes model, spec and threshold as one version; returns its name."""
+    return artifacts.publish(spark, path, trained.model, trained.spec, trained.threshold, **notes)
 
 
-def load_artifacts(spark: SparkSession, path: str):
-    model = BoostedTrees.load(spark, os.path.join(path, "model"))
-    spec, t = encode.load_spec(spark, os.path.join(path, "spec"))
-    return model, spec, t
+def load_artifacts(spark: SparkSession, path: str, version: str | None = None):
+    """Model, spec and threshold of the current version, or of a named one."""
+    found = artifacts.load(spark, path, version)
+    return found.model, found.spec, found.threshold
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
