@@ -4,13 +4,13 @@ Each piece of a document goes to the gap for which the sum over all gap sizes of
 (number of open sequences with that gap) squared becomes smallest; ties go to the
 tightest gap, and a new sequence is opened only when no open one has room.
 Pieces are placed in order of falling length.  A pool of documents is packed in
-the task that reads it, so nothing is shuffled; a pool ends at ``POOL_TOKENS``
-tokens or with the task's rows, which bounds memory, and costs at most about one
-part-filled sequence.
+the task that reads it; a pool ends at ``POOL_TOKENS`` tokens or with the task's rows, which bounds memory.  What a pool
+leaves in sequences that are not full to ``SLACK`` is packed again, by the same rule, in pools over all
+tasks: so the number of sequences hardly depends on how the rows lie in files, and only these pieces are moved.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
-packed one by one; an empty table gives an empty result.  Only ``doc_id`` and
-``text`` are read.
+packed one by one; of pieces of equal length the one read first is placed first; texts of any length are read whole and cut
+into pieces; an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -26,15 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendspark.llm.scratch import stage
+
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
 POOL_TOKENS = 1 << 24
+SLACK = 0.01                    # share of a sequence that may stay empty in the first pass
 # fixed value: how byte-level BPE vocabularies of this kind cut a text into parts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ROWS_OUT = 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+_PLACED = PIECES + ", open boolean"
+_SECOND = 1 << 61               # sequence ids of the second pass begin here
 
 
 class Encoder:
@@ -147,6 +152,39 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
+class _Pool:
+    """Pieces that are packed together, handed on in rows of the result."""
+
+    def __init__(self, capacity: int, first_sequence: int):
+        self.capacity, self.sequence = capacity, first_sequence
+        self.rows: list[tuple[int | None, int, int, bytes]] = []        # doc_id, piece, start, ids
+        self.tokens = 0
+
+    def add(self, doc_id: int | None, piece: int, start: int, ids: bytes) -> None:
+        self.rows.append((doc_id, piece, start, ids))
+        self.tokens += len(ids) // 4
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(r[3]) // 4 for r in self.rows], dtype=np.int64)
+        bins, offset, used = place(sizes, self.capacity)
+        gap = self.capacity - np.bincount(bins, weights=sizes, minlength=used)
+        open_ = gap[bins] > SLACK * self.capacity
+        for a in range(0, len(self.rows), _ROWS_OUT):
+            part = slice(a, a + _ROWS_OUT)
+            doc, piece, start, ids = zip(*self.rows[part], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes[part]), pa.array(ids, pa.binary()),
+                 pa.array(bins[part] + self.sequence), pa.array(offset[part]), pa.array(open_[part])],
+                ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "open"])
+        self.sequence += used
+        self.rows, self.tokens = [], 0
+
+
+def _first_sequence() -> int:
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 40
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str | None = None,
          pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """A row per piece: its ids (binary, little-endian unsigned 32-bit), sequence and offset there.
@@ -156,43 +194,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
     """
     last = np.array([end], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 40
-        enc = encoder(vocabulary)
-        doc, ids, held = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence, doc, ids, held
-            row, piece, start, size = [], [], [], []
-            for r, b in enumerate(ids):
-                for p, (s, n) in enumerate(cut(len(b) // 4, capacity)):
-                    row.append(r)
-                    piece.append(p)
-                    start.append(s)
-                    size.append(n)
-            bins, offset, used = place(np.array(size, dtype=np.int64), capacity)
-            for a in range(0, len(row), _ROWS_OUT):
-                part = slice(a, a + _ROWS_OUT)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc[r] for r in row[part]], pa.int64()), pa.array(piece[part], pa.int32()),
-                     pa.array(start[part], pa.int64()), pa.array(size[part], pa.int64()),
-                     pa.array([ids[r][4 * s:4 * (s + n)] for r, s, n in zip(row[part], start[part], size[part], strict=True)], pa.binary()),
-                     pa.array(bins[part] + sequence), pa.array(offset[part])],
-                    ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-            sequence += used
-            doc, ids, held = [], [], 0
-
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, enc = _Pool(capacity, _first_sequence()), encoder(vocabulary)
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a in range(0, len(texts), 256):
-                more = [b + last for b in enc.encode([t or "" for t in texts[a:a + 256]])]
-                doc += names[a:a + 256]
-                ids += more
-                held += sum(len(b) for b in more) // 4
-                if held >= pool_tokens:
-                    yield from flush()
-        if ids:
-            yield from flush()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+                for name, ids in zip(names[a:a + 256], enc.encode([t or "" for t in texts[a:a + 256]]), strict=True):
+                    ids += last
+                    for p, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        pool.add(name, p, s, ids[4 * s:4 * (s + n)])
+                if pool.tokens >= pool_tokens:
+                    yield from pool.flush()
+        if pool.rows:
+            yield from pool.flush()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(capacity, _SECOND + _first_sequence())
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "start", "ids")), strict=True):
+                pool.add(*row)
+                if pool.tokens >= pool_tokens:
+                    yield from pool.flush()
+        if pool.rows:
+            yield from pool.flush()
+
+    placed = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, _PLACED))
+    left = placed.where("open")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    again = left.repartition(max(1, -(-tokens // pool_tokens))).mapInArrow(second, _PLACED)
+    return placed.where("NOT open").unionByName(again).drop("open")
