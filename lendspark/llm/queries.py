@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendspark.llm.license_scan import TEMPLATES
+from lendspark.llm.license_scan import CUE, TEMPLATES
 from lendspark.session import read_table
 
 
@@ -36,7 +36,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents that end with a line on a licence are licence files; English ones
     stand one directory higher, so other languages have two places to inherit from.
     """
-    from lendspark.llm.license_scan import CUE, scan
+    from lendspark.llm.license_scan import scan
     docs = read_table(spark, sf_dir, "documents")
     number = F.col("doc_id").cast("long")
     top = F.concat_ws("/", "source", F.floor(number / 400))
@@ -213,28 +213,35 @@ SELECT documents.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_removed, coalesce
        coalesce(t.text, documents.text, '') AS text
 FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id""",
     "op4_license_scan": r"""
-WITH t(license, statement) AS (VALUES
+WITH t(template, license, statement) AS (VALUES
 @TEMPLATES@),
-tw AS (SELECT license, word, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM t)
-       GROUP BY license, word),
+tw AS (SELECT template, license, word, count(*) AS tf
+       FROM (SELECT template, license, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM t) GROUP BY template, license, word),
 v AS (SELECT DISTINCT word FROM tw),
 n AS (SELECT count(text) AS n FROM documents),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS word FROM documents WHERE text IS NOT NULL),
 df AS (SELECT word, count(*) AS df FROM d JOIN v USING (word) GROUP BY word),
 idf AS (SELECT v.word, ln((1.0 + n.n) / (1.0 + coalesce(df.df, 0))) + 1.0 AS idf FROM v LEFT JOIN df ON df.word = v.word, n),
-tv AS (SELECT license, word, tf * idf AS w FROM tw JOIN idf USING (word)),
-tn AS (SELECT license, word, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS t FROM tv),
+tv AS (SELECT template, license, word, tf * idf AS w FROM tw JOIN idf USING (word)),
+tn AS (SELECT template, license, word, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS t FROM tv),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
       FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(s), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM l
-      WHERE regexp_matches(s, '(?i)licen[cs]e|copyright|copyleft|spdx|public domain|all rights reserved|\bgpl|\bwarrant')),
-cw AS (SELECT doc_id, line, c.word, count(*) * coalesce(any_value(idf), (SELECT ln(1.0 + n) + 1.0 FROM n)) AS w
-       FROM c LEFT JOIN idf USING (word) GROUP BY doc_id, line, c.word),
-cn AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM cw GROUP BY doc_id, line),
-s AS (SELECT doc_id, line, license, round(sum(w * t) / any_value(norm), 9) AS score
-      FROM cw JOIN cn USING (doc_id, line) JOIN tn USING (word) GROUP BY doc_id, line, license),
+k AS (SELECT *, regexp_matches(s, '^[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)') AS sign, regexp_matches(s, '@CUE@') AS cue FROM l),
+r AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM k WHERE sign),
+z AS (SELECT doc_id, run, string_agg(s, chr(10) ORDER BY line) AS s, min(line) AS line FROM r GROUP BY doc_id, run HAVING count(*) > 1 AND bool_or(cue)),
+named AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND regexp_matches(string_split(text, chr(10))[-1], '@CUE@')),
+unit AS (SELECT doc_id, 0 AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS unit, s FROM k WHERE cue
+         UNION ALL SELECT doc_id, 1, row_number() OVER (PARTITION BY doc_id ORDER BY line), s FROM z
+         UNION ALL SELECT doc_id, 2, 0, text FROM named
+         UNION ALL SELECT doc_id, 3, 0, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))[1:3], chr(10)) FROM named),
+c AS (SELECT doc_id, kind, unit, unnest(regexp_extract_all(lower(s), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM unit),
+cw AS (SELECT doc_id, kind, unit, c.word, count(*) * coalesce(any_value(idf), (SELECT ln(1.0 + n) + 1.0 FROM n)) AS w
+       FROM c LEFT JOIN idf USING (word) GROUP BY doc_id, kind, unit, c.word),
+cn AS (SELECT doc_id, kind, unit, sqrt(sum(w * w)) AS norm FROM cw GROUP BY doc_id, kind, unit),
+s AS (SELECT doc_id, kind, unit, template, license, round(sum(w * t) / any_value(norm), 9) AS score
+      FROM cw JOIN cn USING (doc_id, kind, unit) JOIN tn USING (word) GROUP BY doc_id, kind, unit, template, license),
 own AS (SELECT doc_id, license, score FROM s WHERE score >= 0.6
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1),
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind, unit, license) = 1),
 p AS (SELECT doc_id, source || '/' || (doc_id // 400) AS top, source || '/' || (doc_id // 400) || '/' || lang AS low, lang,
              regexp_matches(string_split(coalesce(text, ''), chr(10))[-1],
                             '(?i)licen[cs]e|copyright|copyleft|spdx|public domain|all rights reserved|\bgpl|\bwarrant') AS is_licence FROM documents),
@@ -248,5 +255,6 @@ SELECT f.doc_id, f.path, coalesce(own.license, near.license, above.license) AS l
        CASE WHEN own.license IS NOT NULL THEN 'own' WHEN coalesce(near.license, above.license) IS NOT NULL THEN 'inherited' END AS origin,
        CASE WHEN own.license IS NOT NULL THEN f.path ELSE coalesce(near.path, above.path) END AS license_path
 FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN g AS near ON near.dir = f.dir LEFT JOIN g AS above ON above.dir = f.top""".replace(
-        "@TEMPLATES@", ",\n".join(f"('{name}', '{statement}')" for name, statement in TEMPLATES)),
+        "@TEMPLATES@", ",\n".join("({}, '{}', '{}')".format(i, name, statement.replace("'", "''")) for i, (name, statement) in enumerate(TEMPLATES))).replace(
+            "@CUE@", CUE),
 }

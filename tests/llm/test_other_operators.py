@@ -287,6 +287,33 @@ def test_a_license_at_the_top_is_inherited(spark):
                    (5, "Apache-2.0", "lib/LICENSE"), (6, "MIT", "LICENSE")}
 
 
+def commented(text, sign):
+    return "\n".join(f"{sign} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_real_wording(spark):
+    """Bodies, headers, titles and SPDX lines as files carry them; a BSD file is not taken for a proprietary one."""
+    body = dict((n, t) for n, t in license_scan.BODIES)
+    code = "import os\n\n\ndef main():\n    return os.name\n"
+    holder = "Copyright (c) 2019-2021, Example Corp. and others. All rights reserved."
+    own = {n: body[n].replace("Copyright (c) year, holder. All rights reserved.", holder).replace("Copyright (c) year holder.", "Copyright (c) 2020 Jane Doe") for n in body}
+    rows = [(f"{n}/LICENSE", own[n], n) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")]
+    rows += [(f"x/{n}.c", "/*\n" + commented(own[n], " *") + "\n */\n" + code, n) for n in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "LGPL-2.1")]
+    rows += [(f"x/{n}.py", commented(f"Copyright 2020 Someone\n\n{own[n]}", "#") + "\n\n" + code, n) for n in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "AGPL-3.0")]
+    rows += [(f"y/{i}.py", f"# SPDX-License-Identifier: {i}\n{code}", want) for i, want in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("GPL-3.0-or-later", "GPL-3.0"),
+        ("GPL-2.0-only", "GPL-2.0"), ("ISC", "ISC"), ("LicenseRef-Own", None), ("Foo-2.0", None), ("WTFPL", None))]
+    terms = "TERMS AND CONDITIONS\n" + "\n".join(f"{i}. {words(i, 30)}" for i in range(40))
+    rows += [("g/COPYING", f"                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone may copy it.\n{terms}", "GPL-3.0"),
+             ("a/LICENSE.txt", f"\n                                 Apache License\n                           Version 2.0, January 2004\n"
+              f"                        http://www.apache.org/licenses/\n\n{terms}", "Apache-2.0"),
+             ("p/LICENSE", "Copyright 2020. All rights reserved.", "Proprietary"), ("q/a.py", code, None), ("g/sub/b.py", code, "GPL-3.0"),
+             ("r/c.py", "# This line says nothing of it\n# and this one neither\n" + code, None)]
+    table = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "key long, path string, text string").repartition(3)
+    got = {r.path: r.license for r in license_scan.scan(table).collect()}
+    assert got == {p: want for p, _, want in rows}
+
+
 def test_licenses_use_no_python(files):
     plan = license_scan.scan(files)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
