@@ -14,14 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CATEGORICAL_COLUMNS, COSIGNER_WORDS, ID_COL, MONTHS_SUFFIX, TARGET_COL
+from ..constants import CATEGORICAL_COLUMNS, COSIGNER_WORDS, ID_COL, MONTHS_SUFFIX, PROFILE_KEYS, TARGET_COL
 from ..functions.features import engineer_features, loan_profile
-from ..functions.text import format_currency, format_money, format_percent
+from ..functions.text import format_currency, format_money, format_percent, scenario_profile
 from ..operators import checks, encode, metrics, monitor, rule_table, rules, sampling
 from ..operators.validate import validate_applications
 from ..session import ensure_checkpoint_dir, read_table, table_version
-from ..sources.applications import APPLICATION_SCHEMA, load_applications, load_raw_applications, read_checked
-from . import scoring
+from ..sources import sinks
+from ..sources.applications import APPLICATION_SCHEMA, load_applications, load_raw_applications, read_checked, require_target
+from . import scoring, training
 
 DRIFT_FEATURES = ["Income", "LoanAmount", "CreditScore", "InterestRate", "DTIRatio", "model_probability"]
 DRIFT_CUTOFF = "1998-01-01"
@@ -319,6 +320,41 @@ def q_stratified_sample(spark, sf_dir):
 
 # --- encoding and scaling ------------------------------------------------------------
 
+def q_stratified_sample_capped(spark, sf_dir):
+    """R4 with a cap below the training rows: exactly 5,000 of them."""
+    train, _ = sampling.train_test(applications(spark, sf_dir))
+    return sampling.stratified_sample(train, cap=5_000).select(ID_COL, TARGET_COL)
+
+
+def q_split_fingerprint(spark, sf_dir):
+    return training.split_fingerprint(applications(spark, sf_dir), share=training.CALIBRATION_SHARE)
+
+
+def q_target_guard(spark, sf_dir):
+    """Labels that come as text, checked and cast, then counted."""
+    text = applications(spark, sf_dir).withColumn(TARGET_COL, F.col(TARGET_COL).cast("string"))
+    return sampling.class_balance(require_target(text), by=["EmploymentType"])
+
+
+def q_metric_sinks(spark, sf_dir):
+    """A result table written as JSON and as CSV, and read back."""
+    table = sampling.class_balance(applications(spark, sf_dir), by=["MaritalStatus"])
+    base = os.path.join(ensure_checkpoint_dir(spark), f"sinks-{uuid.uuid4().hex}")
+    sinks.write_metrics(table, f"{base}/json")
+    sinks.write_metrics(table, f"{base}/csv", "csv")
+    schema = f"MaritalStatus string, {TARGET_COL} int, n long"
+    return (spark.read.schema(schema).json(f"{base}/json").withColumn("sink", F.lit("json"))
+            .unionByName(spark.read.schema(schema).option("header", "true").csv(f"{base}/csv").withColumn("sink", F.lit("csv"))))
+
+
+def q_application_profile(spark, sf_dir):
+    """the display fields of every application."""
+    names = ("Income", "LoanAmount", "CreditScore", "EmploymentType", "MonthsEmployed", "HasCoSigner")
+    p = scenario_profile(*[F.col(c) for c in names])
+    return (applications(spark, sf_dir).select(ID_COL, p.alias("p"))
+            .select(ID_COL, *[F.element_at("p", F.lit(k)).alias(f"field_{i}") for i, k in enumerate(PROFILE_KEYS, 1)]))
+
+
 def q_onehot_train(spark, sf_dir):
     eng = engineer_features(applications(spark, sf_dir))
     return encode.onehot(eng, learned_spec(spark, sf_dir))
@@ -456,6 +492,11 @@ SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratified_split_exact": q_stratified_split_exact,
     "class_balance": q_class_balance,
     "stratified_sample": q_stratified_sample,
+    "stratified_sample_capped": q_stratified_sample_capped,
+    "split_fingerprint": q_split_fingerprint,
+    "target_guard": q_target_guard,
+    "metric_sinks": q_metric_sinks,
+    "application_profile": q_application_profile,
     "onehot_train": q_onehot_train,
     "scaler_fit": q_scaler_fit,
     "prepare_inference": q_prepare_inference,

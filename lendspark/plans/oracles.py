@@ -301,6 +301,26 @@ SELECT "LoanID", CAST(row_number() OVER (PARTITION BY "LoanID" ORDER BY pos) AS
 SELECT CAST(position AS INTEGER) AS position, rule_id, direction, multiplier, n_fired, n_decision_changed,
   round({_div('n_fired', 'n_total')}, 6) AS fire_rate FROM ({usage_rows}) u"""
     q |= _user_rule_oracles()
+    own_hash = "('0x' || substr(md5(CAST(\"LoanID\" AS VARCHAR) || '#sample42'), 1, 8))::BIGINT"
+    q["stratified_sample_capped"] = f"""WITH {APPS}, train AS (SELECT * FROM apps WHERE NOT {SPLIT_EXPR}),
+n AS (SELECT count(*) AS n FROM train),
+c AS (SELECT "Default" AS c, count(*) AS k FROM train GROUP BY 1),
+f AS (SELECT c, 5000 * k // n AS quota, 5000 * k % n AS rest, 5000 - sum(5000 * k // n) OVER () AS open FROM c, n),
+q AS (SELECT c, quota + CASE WHEN row_number() OVER (ORDER BY rest DESC, CAST(c AS VARCHAR)) <= open THEN 1 ELSE 0 END AS quota FROM f),
+r AS (SELECT "LoanID", "Default", row_number() OVER (PARTITION BY "Default" ORDER BY {own_hash}, "LoanID") AS i FROM train)
+SELECT "LoanID", "Default" FROM r JOIN q ON q.c = r."Default", n WHERE n.n <= 5000 OR i <= quota"""
+    q["split_fingerprint"] = f"""WITH {APPS}, s AS (
+SELECT "Default", CASE WHEN {SPLIT_EXPR} THEN 'test'
+  WHEN ('0x' || substr(md5(CAST("LoanID" AS VARCHAR) || '#calibration42'), 1, 8))::BIGINT % 10000 < 1000 THEN 'calibration'
+  ELSE 'train' END AS split, ('0x' || substr(md5("LoanID" || '|' || "Default" || '#print'), 1, 8))::BIGINT AS h FROM apps)
+SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum("Default") AS BIGINT) AS n_default, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor
+FROM s GROUP BY split"""
+    q["target_guard"] = f"""WITH {APPS} SELECT "EmploymentType", "Default", count(*) AS n FROM apps GROUP BY 1, 2"""
+    q["metric_sinks"] = f"""WITH {APPS} SELECT "MaritalStatus", "Default", count(*) AS n, sink FROM apps, (VALUES ('json'), ('csv')) AS v(sink)
+GROUP BY 1, 2, sink"""
+    q["application_profile"] = f"""WITH {APPS} SELECT "LoanID", {_money('"Income"')} AS field_1, {_money('"LoanAmount"')} AS field_2,
+  CAST("CreditScore" AS VARCHAR) AS field_3, "EmploymentType" AS field_4, "MonthsEmployed" || ' ay' AS field_5,
+  CASE WHEN "HasCoSigner" = 'Yes' THEN 'Var' ELSE 'Yok' END AS field_6 FROM apps"""
     q["csv_records"] = f"""WITH {APPS}, k AS (SELECT "LoanID" % 40 AS k, "EmploymentType" = 'Full-time' AS whole_day FROM apps),
 r AS (SELECT CASE k WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'unclosed quote' WHEN 3 THEN CASE WHEN whole_day THEN 'long' ELSE 'records' END
              WHEN 4 THEN 'blank' ELSE 'records' END AS reason FROM k)

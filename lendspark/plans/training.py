@@ -39,6 +39,7 @@ class TrainedModel:
     threshold: float
     test_scored: DataFrame    # LoanID, Default, x, model_probability
     balanced: DataFrame
+    fingerprint: dict         # of the splits it was trained and tested on
 
 
 CALIBRATION_SHARE = 0.1      # of the rows that are not test rows
@@ -51,6 +52,30 @@ def three_splits(df: DataFrame, seed: int = RANDOM_STATE, share: float = CALIBRA
         "split", F.when(F.col("is_test"), "test").when(own, "calibration").otherwise("train")).drop("is_test")
 
 
+def split_fingerprint(df: DataFrame, seed: int = RANDOM_STATE, share: float = 0.0) -> DataFrame:
+    """Per split its rows, defaults, and sum and exclusive or of hashes of (key, label): the same in any order of the rows.
+
+    Other rows, labels, seed or shares give another table.
+    """
+    print_ = sampling.key_hash32(F.concat_ws("|", F.col(ID_COL).cast("string"), F.col(TARGET_COL).cast("string")), "#print")
+    return (three_splits(df, seed, share).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET_COL).cast("long").alias("n_default"), F.sum(print_).alias("hash_sum"), F.bit_xor(print_).alias("hash_xor")))
+
+
+def fingerprint(apps: DataFrame, seed: int, share: float) -> dict:
+    """The fingerprint as it is kept with the artifacts: three rows."""
+    return {"seed": seed, "share": share, "splits": {r["split"]: [r["n"], r["n_default"], r["hash_sum"], r["hash_xor"]]
+                                                     for r in split_fingerprint(apps, seed, share).collect()}}
+
+
+def require_fingerprint(apps: DataFrame, kept: dict, seed: int | None = None, share: float | None = None) -> None:
+    """Refuses applications, or a seed or share, whose splits are not those of the fingerprint."""
+    now = fingerprint(apps, kept["seed"] if seed is None else seed, kept["share"] if share is None else share)
+    differ = sorted(s for s in {*now["splits"], *kept["splits"]} if list(now["splits"].get(s, ())) != list(kept["splits"].get(s, ())))
+    if differ:
+        raise ValueError(f"the rebuilt splits differ from the trained ones: {', '.join(differ)}")
+
+
 def prepare_training(apps: DataFrame, seed: int = RANDOM_STATE, calibrate_on: str = "test") -> TrainingData:
     """Scaled splits; with ``calibrate_on="calibration"`` a third split is kept out of training."""
     if calibrate_on not in ("calibration", "test"):
@@ -90,7 +115,8 @@ def train_pipeline(apps: DataFrame, max_iter: int = GBT_PARAMS["n_estimators"],
     test_scored = cut_lineage(scored(data.test))
     held = test_scored if data.calibration is None else scored(data.calibration)
     t = metrics.pick_threshold(held, TARGET_COL, "model_probability", target_recall)
-    return TrainedModel(data.spec, model, t, test_scored, balanced)
+    share = CALIBRATION_SHARE if calibrate_on == "calibration" else 0.0
+    return TrainedModel(data.spec, model, t, test_scored, balanced, fingerprint(apps, seed, share))
 
 
 def scenario_rows(spark: SparkSession, trained: TrainedModel) -> DataFrame:
@@ -101,8 +127,8 @@ def scenario_rows(spark: SparkSession, trained: TrainedModel) -> DataFrame:
 
 
 def save_artifacts(spark: SparkSession, trained: TrainedModel, path: str, **notes) -> str:
-    """S3: publishes model, spec and threshold as one version; returns its name."""
-    return artifacts.publish(spark, path, trained.model, trained.spec, trained.threshold, **notes)
+    """S3: publishes model, spec and threshold as one version, with the fingerprint of its splits; returns its name."""
+    return artifacts.publish(spark, path, trained.model, trained.spec, trained.threshold, fingerprint=trained.fingerprint, **notes)
 
 
 def load_artifacts(spark: SparkSession, path: str, version: str | None = None):

@@ -49,3 +49,22 @@ def test_threshold_is_not_picked_on_test_rows(spark):
     assert sum(map(len, keys.values())) == apps.count() == len(set.union(*keys.values()))
     assert 0.05 < len(keys["calibration"]) / (len(keys["train"]) + len(keys["calibration"])) < 0.15
     assert keys["test"] == {r[0] for r in sampling.stratified_split(apps).filter("is_test").select("LoanID").collect()}
+
+
+def test_error_analysis_refuses_other_splits(spark):
+    """The test rows must be those that training left out: changed rows, labels, seed or share are refused; their order is not."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lendspark.plans import training
+    apps = load_applications(spark, SF)
+    kept = training.fingerprint(apps, 42, 0.1)
+    training.require_fingerprint(apps.repartition(5).orderBy("LoanID"), kept)
+    one = apps.agg(F.max("LoanID")).first()[0]
+    for changed in (apps.where(F.col("LoanID") != one), apps.union(apps.where(F.col("LoanID") == one)),
+                    apps.withColumn("Default", F.when(F.col("LoanID") == one, 1 - F.col("Default")).otherwise(F.col("Default")))):
+        with pytest.raises(ValueError):
+            training.require_fingerprint(changed, kept)
+    for other in ({"seed": 43}, {"share": 0.0}):
+        with pytest.raises(ValueError):
+            training.require_fingerprint(apps, kept, **other)
